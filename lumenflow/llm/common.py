@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +19,22 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 HOT_SHARE = 1000
 
 _own: dict[str, str] = {}
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give Python workers this package, wherever they run; once an application."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    top = Path(__file__).resolve().parent.parent
+    folder = tempfile.mkdtemp(prefix="lumenflow-code-")
+    atexit.register(shutil.rmtree, folder, True)
+    with zipfile.ZipFile(f"{folder}/lumenflow_code.zip", "w") as z:
+        for path in sorted(top.rglob("*.py")):
+            z.write(path, path.relative_to(top.parent))
+    spark.sparkContext.addPyFile(f"{folder}/lumenflow_code.zip")
 
 
 def scratch(spark: SparkSession, what: str) -> str:

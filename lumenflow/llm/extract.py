@@ -20,6 +20,8 @@ from itertools import product
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import ship
+
 #: Elements that end a block.
 BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
 #: Elements whose content is no text of the page.
@@ -174,6 +176,7 @@ def main_text(page: str, tree) -> str:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
+    ship(pages.sparkSession)
     tree = grow(labelled_table())
 
     def run(batches: Iterator) -> Iterator:

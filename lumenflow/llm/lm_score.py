@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filled
+from .common import documents, filled, ship
 
 FOLDS, HELD_OUT = 5, 1
 MU = 20.0
@@ -150,6 +150,7 @@ def training_size(docs: DataFrame, ranges: int) -> tuple[int, int]:
 
 
 def scored(docs: DataFrame, mu: float = MU) -> DataFrame:
+    ship(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
     rows = rows.withColumn("held_out", F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(FOLDS)) == HELD_OUT, F.lit(False)))
     chars = rows.agg(F.sum(F.length("text") + 1)).first()[0] or 0

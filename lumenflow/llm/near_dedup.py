@@ -26,20 +26,24 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, filled, stored
+from .common import attach, documents, filled, ship, stored
 
 SHINGLE = 5
 SLOTS, BANDS = 100, 20
 #: Link two sets when PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Signatures that agree on fewer slots than this part can't belong to linked sets (four standard deviations).
-HOPELESS = 0.70
+#: Signatures that agree on fewer slots than this part can't belong to linked sets (3.8 standard
+#: deviations of these signatures).
+HOPELESS = 0.74
 PORTION = 64
 CHUNK = 256
+#: Members searched by one call.
+ROWS = 4000
 CACHE = 300_000
 #: Shingles whose permutations are held at once.
 ELEMENTS = 250_000
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
+_ODD = np.random.default_rng(17).integers(0, 1 << 63, SHINGLE, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -48,30 +52,38 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _Hashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        return h
+
+
 class Shingler:
     """Sorted distinct 64-bit shingle hashes of texts."""
 
     def __init__(self):
-        self.seen: dict[bytes, int] = {}
-
-    def __call__(self, text: str) -> np.ndarray:
-        import xxhash
-
-        words = text.encode().lower().split()  # bytes: ASCII letters and ASCII white space only
-        if not words:
-            return np.empty(0, np.uint64)
-        seen = self.seen
-        if len(seen) > CACHE:
-            seen.clear()
-        for w in set(words).difference(seen):
-            seen[w] = xxhash.xxh3_64_intdigest(w)
-        x = np.fromiter(map(seen.__getitem__, words), np.uint64, len(words))
-        size = min(SHINGLE, len(x))
-        h = np.full(len(x) - size + 1, size, np.uint64)
+        self.seen = _Hashes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.seen) > CACHE:
+            self.seen.clear()
+        look = self.seen.__getitem__
+        split = [t.encode().lower().split() for t in texts]  # bytes: ASCII letters and ASCII white space only
+        sizes = np.fromiter(map(len, split), np.int64, len(split))
+        x = np.fromiter((h for words in split for h in map(look, words)), np.uint64, int(sizes.sum()))
+        ends = np.cumsum(sizes)
         with np.errstate(over="ignore"):
-            for k in range(size):
-                h = _mix(h * _GOLD + x[k : len(x) - size + 1 + k])
-        return np.unique(h)
+            h = np.zeros(max(0, len(x) - SHINGLE + 1), np.uint64)
+            for k, c in enumerate(_ODD):
+                h += x[k : len(h) + k] * c
+            h = _mix(h)
+            return [self.short(x[end - n : end]) if n < SHINGLE else np.unique(h[end - n : end - SHINGLE + 1]) for n, end in zip(sizes.tolist(), ends.tolist())]
+
+    @staticmethod
+    def short(x: np.ndarray) -> np.ndarray:
+        return _mix(np.array([len(x)], np.uint64) + (x * _ODD[: len(x)]).sum(keepdims=True)) if len(x) else np.empty(0, np.uint64)
 
 
 def signatures(sets: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
@@ -148,13 +160,14 @@ def signed(docs: DataFrame) -> DataFrame:
             )
 
         for batch in batches:
-            for start in range(0, batch.num_rows, 500):
-                part = batch.slice(start, 500)
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
                 ids, finds, sets, held = [], [], [], 0
-                for doc_id, text, key in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
+                doc_ids, texts, keys = (part.column(i).to_pylist() for i in range(3))
+                for doc_id, key, found in zip(doc_ids, keys, shingle(texts), strict=True):
                     ids.append(doc_id)
                     finds.append(key)
-                    sets.append(shingle(text))
+                    sets.append(found)
                     held += len(sets[-1])
                     if held >= ELEMENTS:
                         yield out(ids, finds, sets)
@@ -165,34 +178,45 @@ def signed(docs: DataFrame) -> DataFrame:
     return keyed(docs).mapInArrow(run, "doc_id long, key long, n_shingles long, node binary, bands array<long>, sig binary")
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame) -> DataFrame:
-    """The pairs (node, center) whose full sets are linked. ``reps``: node, key of a row that has the set."""
+def hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs (node, center) whose sizes and signatures allow a link."""
+    a = nodes.select("node", F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    b = nodes.select(F.col("node").alias("center"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    agree = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + F.when(F.substring("sig_a", i, F.lit(1)) == F.substring("sig_b", i, F.lit(1)), 1).otherwise(0))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
+    return pairs.join(a, "node").join(b, "center").filter(fits & (agree >= HOPELESS * SLOTS)).select("node", "center")
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs (node, center) whose full sets are linked. Portions of centers share tasks of PORTION pairs or so."""
     pairs = stored(pairs.distinct(), "pairs")
     loads = stored(pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n")), "centers")
-    dealt = stored(attach(pairs, loads, "center", "n").select("node", "center", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PORTION)).alias("part")), "portions")
-    need = dealt.unionByName(dealt.select(F.col("center").alias("node"), "center", "part").distinct())
-    rows = need.join(reps.select("node", "key"), "node").join(keyed(docs).select("key", "text"), "key").select("node", "center", "part", "text")
+    tasks = max(1, pairs.count() // PORTION)
+    task = F.pmod(F.xxhash64("center", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / PORTION))), F.lit(tasks))
+    dealt = stored(attach(pairs, loads, "center", "n").select("node", "center", task.alias("task")), "portions")
+    need = dealt.unionByName(dealt.select(F.col("center").alias("node"), "center", "task").distinct())
+    rows = need.join(nodes.select("node", "key"), "node").join(keyed(docs).select("key", "text"), "key").select("node", "center", "task", "text")
 
     def compare(frame):
         import pandas as pd
         import xxhash
 
-        shingle, sets = Shingler(), {}
-        for node, text in zip(frame["node"], frame["text"], strict=True):
-            if node not in sets:
-                s = shingle(text)
-                if xxhash.xxh3_128_digest(s.tobytes()) == node:
-                    sets[node] = s
-        center = frame["center"].iloc[0]
-        a, out = sets[center], []
-        for node, b in sets.items():
-            if node != center and 100 * min(len(a), len(b)) >= PERCENT * max(len(a), len(b)):
+        shingle, sets, out = Shingler(), {}, []
+        one = frame.drop_duplicates(["node", "text"])
+        for at in range(0, len(one), 50):
+            part = one.iloc[at : at + 50]
+            for node, found in zip(part["node"], shingle(part["text"].tolist()), strict=True):
+                if xxhash.xxh3_128_digest(found.tobytes()) == node:
+                    sets[node] = found
+        for node, center in set(zip(frame["node"], frame["center"], strict=True)):
+            if node != center:
+                a, b = sets[center], sets[node]
                 both = len(np.intersect1d(a, b, assume_unique=True))
                 if 100 * both >= PERCENT * (len(a) + len(b) - both):
                     out.append((node, center))
         return pd.DataFrame(out, columns=["node", "center"])
 
-    return stored(rows.groupBy("center", "part").applyInPandas(compare, "node binary, center binary"), "links")
+    return stored(rows.groupBy("task").applyInPandas(compare, "node binary, center binary"), "links")
 
 
 def labels(links: DataFrame) -> DataFrame:
@@ -220,34 +244,38 @@ def leftovers(members: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFra
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     left = rows.select("band", F.pmod(F.hash("node"), chunks).alias("chunk"), "node", "label", F.lit(False).alias("rest"))
     right = rows.filter(F.col("label") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "label", F.lit(True).alias("rest"))
-    full = left.unionByName(right).join(nodes.select("node", "sig", "n_shingles"), "node")
+    tasks = max(1, rows.count() // ROWS)
+    full = left.unionByName(right).join(nodes.select("node", "sig", "n_shingles"), "node").withColumn("task", F.pmod(F.xxhash64("band", "chunk"), F.lit(tasks)))
 
     def search(frame):
         import pandas as pd
 
-        rest = frame["rest"].to_numpy(bool)
+        frame = frame.sort_values(["band", "chunk"])
+        rest, band, chunk = (frame[c].to_numpy() for c in ("rest", "band", "chunk"))
         sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1)
-        kind, size = pd.factorize(frame["label"])[0], frame["n_shingles"].to_numpy()
-        nodes_, out = frame["node"].to_numpy(), []
-        one, many = np.flatnonzero(~rest), np.flatnonzero(rest)
-        for k in many:
-            agree = (sig[one] == sig[k]).mean(1) >= HOPELESS
-            fits = 100 * np.minimum(size[one], size[k]) >= PERCENT * np.maximum(size[one], size[k])
-            out += [(max(nodes_[i], nodes_[k]), min(nodes_[i], nodes_[k])) for i in one[agree & fits & (kind[one] != kind[k])]]
-        return pd.DataFrame(out, columns=["node", "center"]).drop_duplicates()
+        kind, size, nodes_, out = pd.factorize(frame["label"])[0], frame["n_shingles"].to_numpy(), frame["node"].to_numpy(), set()
+        edges = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1]), True])
+        for lo, hi in zip(edges, edges[1:]):
+            one, many = lo + np.flatnonzero(~rest[lo:hi]), lo + np.flatnonzero(rest[lo:hi])
+            for k in many:
+                fits = one[(100 * np.minimum(size[one], size[k]) >= PERCENT * np.maximum(size[one], size[k])) & (kind[one] != kind[k])]
+                for i in fits[(sig[fits] == sig[k]).mean(1) >= HOPELESS] if len(fits) else ():
+                    out.add((max(nodes_[i], nodes_[k]), min(nodes_[i], nodes_[k])))
+        return pd.DataFrame(sorted(out), columns=["node", "center"])
 
-    return full.groupBy("band", "chunk").applyInPandas(search, "node binary, center binary")
+    return full.groupBy("task").applyInPandas(search, "node binary, center binary")
 
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    ship(docs.sparkSession)
     seen = stored(signed(docs), "signed")
     some = seen.filter("node IS NOT NULL")
     nodes = stored(some.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min("key").alias("key"), F.count(F.lit(1)).alias("n_rows"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")
     members = nodes.select("node", F.explode("bands").alias("band"))
     buckets = stored(members.groupBy("band").agg(F.min("node").alias("center"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
     shared = stored(attach(members, buckets, "band", "n").select("band", "node", "center"), "members")
-    links = verified(shared.filter("node <> center").select("node", "center"), nodes, docs)
+    links = verified(hopeful(shared.filter("node <> center").select("node", "center").distinct(), nodes), nodes, docs)
     label = labels(links)
     more = stored(leftovers(shared.select("band", "node"), nodes, label), "leftovers")
     if more.limit(1).count():

@@ -24,7 +24,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filled
+from .common import documents, filled, ship
 
 TIERS = (256, 512, 1024, 2048)
 END = 1
@@ -151,6 +151,8 @@ def step_groups(windows: list[tuple[int, list]], size: int = GROUP) -> list[int]
 def packed(docs: DataFrame, vocabulary: str, tiers=TIERS) -> DataFrame:
     """One row per piece; sequence_id and step_group carry the partition's number, so packers need no agreement."""
 
+    ship(docs.sparkSession)
+
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
         from pyspark import TaskContext

@@ -23,7 +23,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, filled
+from .common import documents, filled, ship
 
 #: Labelled rows used for fitting: toxic, ordinary.
 SAMPLE = (1500, 3000)
@@ -166,6 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample=SAMPLE) -> Scorer:
 
 
 def scored(docs: DataFrame, scorer: Scorer) -> DataFrame:
+    ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def run(batches: Iterator) -> Iterator:
