@@ -5,20 +5,20 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
-import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import scratch, stored  # noqa: F401
+
 #: ASCII white space, as a Java and Python character class.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A key is hot when it holds at least one row in HOT_SHARE, so there are at most HOT_SHARE hot keys.
 HOT_SHARE = 1000
 
-_own: dict[str, str] = {}
 _shipped: set[str] = set()
 
 
@@ -37,35 +37,6 @@ def ship(spark: SparkSession) -> None:
     spark.sparkContext.addPyFile(f"{folder}/lumenflow_code.zip")
 
 
-def scratch(spark: SparkSession, what: str) -> str:
-    """A new folder name below the folder the cluster names in spark.checkpoint.dir.
-
-    Where the setting is absent (local tests) it is a temporary folder of this process.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        app = spark.sparkContext.applicationId
-        if app not in _own:
-            _own[app] = tempfile.mkdtemp(prefix="lumenflow-")
-            atexit.register(shutil.rmtree, _own[app], True)
-        root = _own[app]
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
-
-
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder in any file system Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-
-
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: lineage ends here, lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
