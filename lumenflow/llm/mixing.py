@@ -4,7 +4,8 @@ Every document of a source should be copied target / source_size times. The whol
 fractional part is rounded by pivotal steps: two documents exchange mass (words) until one of them is all in or all
 out, with probabilities that keep both expectations. Words, not counts, are conserved, so a source's total misses its
 target by less than one document. The few documents large within their source are rounded first, and what the last of
-them leaves over is spread on the probabilities of all others, so that the document a total misses by is a small one. Documents are dealt to small blocks, each reduced to one unfinished document by a
+them leaves over is spread on the probabilities of all others, so that a total misses by one BIG-th of its source at most, unless nearly all its
+documents are large. Documents are dealt to small blocks, each reduced to one unfinished document by a
 fold over an ordered array; the unfinished ones are dealt to blocks of blocks, and so on: a reduction tree of depth
 log(documents) / log(FAN). Draws are hashes of ids and a seed, so reruns agree.
 
