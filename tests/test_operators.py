@@ -1,0 +1,99 @@
+import pytest
+
+from lumenflow.functions import names, sinks
+from lumenflow.operators import collaboration, controlflow, dataflow, graph
+from pyspark.sql import functions as F
+
+
+def edges(spark, *pairs):
+    return spark.createDataFrame(pairs, "src string, dst string")
+
+
+def chain(spark, n):
+    return edges(spark, *[(f"m{i:02}", f"m{i + 1:02}") for i in range(n)])
+
+
+@pytest.mark.parametrize("length, found", [(15, True), (16, False)])
+def test_nearest_entry_stops_at_its_bound(spark, length, found):
+    got = graph.nearest(chain(spark, length), spark.createDataFrame([(f"m{length:02}",)], "node string"), spark.createDataFrame([("m00",)], "node string")).collect()
+    assert [(r["entry"], r["depth"]) for r in got] == ([("m00", length)] if found else [])
+
+
+def test_nearest_entry_of_an_entry_is_itself(spark):
+    got = graph.nearest(edges(spark, ("a", "b")), spark.createDataFrame([("b",)], "node string"), spark.createDataFrame([("b",), ("a",)], "node string")).collect()
+    assert [(r["entry"], r["depth"], r["path"]) for r in got] == [("b", 0, ["b"])]
+
+
+def test_common_ancestor(spark):
+    pair = spark.createDataFrame([("a", "b")], "a string, b string")
+    assert graph.common_ancestor(edges(spark, ("c", "a"), ("c", "b")), pair).first()["lca"] == "c"
+    assert graph.common_ancestor(edges(spark, ("c", "a"), ("c", "b"), ("b", "a")), pair).first()["lca"] == "b"
+
+
+def test_closure_and_components_of_a_cycle(spark):
+    e = edges(spark, ("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"))
+    assert graph.closure(e).count() == 10
+    assert {r["node"]: r["root"] for r in graph.components(e).collect()} == {"a": "a", "b": "a", "c": "a", "x": "x", "y": "x"}
+
+
+@pytest.mark.parametrize("n, level", [(1, "low"), (2, "low"), (3, "medium"), (4, "high")])
+def test_risk(spark, n, level):
+    assert spark.range(1).select(names.risk(F.lit(n)).alias("r")).first()["r"] == level
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("http x.request( console.y .log(", ("network", "http.request")),
+        ("Session.get(", ("network", "rcp.Session.get")),
+        ("prefs preferences.putSync(", ("storage", "preferences.putSync")),
+        ("console.log(", ("log", "console.log")),
+        ("console only", None),
+    ],
+)
+def test_sink_order(spark, text, expected):
+    got = spark.createDataFrame([(text,)], "t string").select(sinks.classify(F.col("t")).alias("s")).first()["s"]
+    assert (tuple(got) if got else None) == expected
+
+
+def test_readable_names(spark):
+    rows = [("Page.%AM0$build", "Page.build_callback_0"), ("%dflt.run", "[module].run"), ("x%dflt.func_main_0", "[module-level init]"), ("Page.run", None)]
+    got = spark.createDataFrame([(a,) for a, _ in rows], "n string").select(names.readable(F.col("n")).alias("r")).collect()
+    assert [r["r"] for r in got] == [b for _, b in rows]
+
+
+def statements(spark, *rows):
+    return spark.createDataFrame([(1, i + 1, k, v, f) for i, (k, v, f) in enumerate(rows)], "method long, idx long, kind string, var long, from_var long")
+
+
+def test_redefinition_kills_taint(spark):
+    assert dataflow.straight_taint(statements(spark, ("source", 1, 0), ("clear", 1, 0), ("sink", 1, 0))).count() == 0
+    assert dataflow.tainted_sinks(statements(spark, ("source", 1, 0), ("clear", 1, 0), ("sink", 1, 0))).count() == 0
+
+
+def test_taint_follows_copies(spark):
+    got = dataflow.tainted_sinks(statements(spark, ("source", 1, 0), ("copy", 2, 1), ("clear", 1, 0), ("copy", 3, 2), ("sink", 3, 0), ("sink", 1, 0))).collect()
+    assert [(r["var"], r["source_idx"], r["sink_idx"]) for r in got] == [(3, 1, 5)]
+
+
+def test_both_definitions_reach_behind_a_branch(spark):
+    gen = spark.createDataFrame([(1, 0, 7, 1), (1, 1, 7, 2)], "method long, block long, var long, def_idx long")
+    e = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 2)], "method long, src long, dst long")
+    got = dataflow.reaching(gen, gen.select("method", "block", "var"), e).filter("block = 2").collect()
+    assert sorted(r["def_idx"] for r in got) == [1, 2]
+
+
+def test_dominators_of_a_diamond(spark):
+    e = spark.createDataFrame([(1, 0, 1), (1, 0, 2), (1, 1, 3), (1, 2, 3)], "method long, src long, dst long")
+    assert {r["block"]: r["idom"] for r in controlflow.dominators(e).collect()} == {1: 0, 2: 0, 3: 0}
+
+
+def test_points_to_through_a_field(spark):
+    mk = spark.createDataFrame
+    got = dataflow.points_to(mk([("a", "A"), ("t", "B")], "node string, obj string"), edges(spark, ("a", "b")), mk([("a", "f", "c")], "base string, field string, dst string"), mk([("b", "f", "t")], "base string, field string, src string"))
+    assert {r["obj"] for r in got.filter("node = 'c'").collect()} == {"B"}
+
+
+def test_groups_need_two_categories(spark):
+    u = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "x", 1), (2, "y", 1)], "method long, category string, api long")
+    assert [(r["method"], r["categories"]) for r in collaboration.together(u, "method").collect()] == [(2, "x,y")]
