@@ -33,8 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 CHUNK_TOKENS = 2_000_000
 #: Windows in a step group, on average.
 GROUP = 32
-#: Words remembered by a process, and half the pieces of words.
-CACHE = 200_000
+#: Words, and pieces of words, that a process remembers; about 200 bytes each.
+CACHE, PARTS = 600_000, 1_000_000
 _ASCII = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
@@ -73,7 +73,7 @@ class Encoder:
         split = [t.encode().split() for t in texts]
         if len(self.words) > CACHE:
             self.words.clear()
-        if len(self.parts) > 2 * CACHE:
+        if len(self.parts) > PARTS:
             self.parts.clear()
         new = list({w for words in split for w in words}.difference(self.words))
         for at in range(0, len(new), 20_000):
