@@ -10,7 +10,8 @@
    meets the members outside the bucket's largest component. Pairs of different components whose signatures allow the
    threshold are verified as in 3. So members that resemble each other but not their center are found, too.
 
-A link is missed only if no band of the two signatures agrees: 8e-6 at similarity 0.85 with 20 bands of 5.
+A link is missed if no band of the two signatures agrees, or if they agree on less than HOPELESS of their slots. At
+similarity 0.85, with 20 bands of 5 and independent slots, that is 8e-6 and 5e-6.
 
 Defined results: null text counts as empty; texts without words have no shingles, no links and stay, each by itself; a
 text of fewer than five words has one shingle, all of it; rows that repeat doc_id are in one component if their sets
@@ -32,9 +33,9 @@ SHINGLE = 5
 SLOTS, BANDS = 100, 20
 #: Link two sets when PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Signatures that agree on fewer slots than this part can't belong to linked sets (3.8 standard
-#: deviations of these signatures).
-HOPELESS = 0.74
+#: Pairs whose signatures agree on a smaller part of the slots aren't verified. Of pairs at the threshold
+#: 5e-6 fall below it, counting slots as independent, which is the worst case.
+HOPELESS = 0.68
 PORTION = 64
 CHUNK = 256
 #: Members searched by one call.
