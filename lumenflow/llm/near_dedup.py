@@ -6,9 +6,11 @@
 2. Classes that agree on a band of the signature share a bucket. Within a bucket all are compared with one center only.
 3. Pairs are verified on full sets, regrouped by center in portions of PORTION members, so no task holds a large group.
 4. Verified links are joined to components by least labels with pointer jumps.
-5. Buckets that still hold several components are searched completely: members are dealt to chunks, and each chunk
-   meets the members outside the bucket's largest component. Pairs of different components whose signatures allow the
-   threshold are verified as in 3. So members that resemble each other but not their center are found, too.
+5. Buckets that still hold several components are searched completely, in blocks: chunks of members by chunks of those
+   outside the bucket's largest component. A first search by signatures keeps the members with a candidate in their
+   block; a second one verifies candidates on full sets where they meet, joins components as it goes, and returns only
+   links that join two. So members that resemble each other but not their center are found, too, and no list of pairs
+   is written. Each pair is met in the first band that both share.
 
 A link is missed if no band of the two signatures agrees, or if they agree on less than HOPELESS of their slots. At
 similarity 0.85, with 20 bands of 5 and independent slots, that is 8e-6 and 5e-6.
@@ -37,9 +39,10 @@ PERCENT = 85
 #: 5e-6 fall below it, counting slots as independent, which is the worst case.
 HOPELESS = 0.68
 PORTION = 64
-CHUNK = 256
-#: Members searched by one call.
-ROWS = 4000
+#: Shingles in a chunk of members; a member counts LEAST at least.
+VOLUME, LEAST = 250_000, 250
+#: Members searched by one call, or those of one block if they are more.
+ROWS = 1000
 CACHE = 300_000
 #: Shingles whose permutations are held at once.
 ELEMENTS = 250_000
@@ -234,37 +237,99 @@ def labels(links: DataFrame) -> DataFrame:
             return now
 
 
-def leftovers(members: DataFrame, nodes: DataFrame, label: DataFrame) -> DataFrame:
-    """Pairs of different components that share a bucket and whose signatures allow a link."""
-    named = members.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    parts = stored(named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n")), "parts")
-    mixed = stored(parts.groupBy("band").agg(F.sum("n").alias("size"), F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").drop("kinds"), "mixed")
+def candidates(one: np.ndarray, k: int, size, sig, bands, band: int) -> np.ndarray:
+    """Those of ``one`` whose sizes and signatures allow a link with k, and that share no earlier band than ``band``."""
+    fits = one[100 * np.minimum(size[one], size[k]) >= PERCENT * np.maximum(size[one], size[k])]
+    fits = fits[(sig[fits] == sig[k]).mean(1) >= HOPELESS] if len(fits) else fits
+    same = bands[fits] == bands[k]
+    return fits[bands[k][same.argmax(1)] == band] if len(fits) else fits
+
+
+def blocks(frame):
+    """(band, a, b, members of the chunk, others) of each block in a frame with a row per block and member."""
+    frame = frame.sort_values(["band", "a", "b"], kind="stable")
+    band, a, b, role, at = (frame[c].to_numpy() for c in ("band", "a", "b", "role", "at"))
+    edges = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1]), True])
+    for lo, hi in zip(edges, edges[1:]):
+        yield band[lo], a[lo], b[lo], at[lo:hi][role[lo:hi] < 2], set(at[lo:hi][role[lo:hi] == 1]), at[lo:hi][role[lo:hi] == 2]
+
+
+def arrays(frame):
+    """Sizes, signatures and bands of a frame's rows."""
+    return frame["n_shingles"].to_numpy(), np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1), np.array(frame["bands"].tolist(), np.int64)
+
+
+def leftovers(members: DataFrame, nodes: DataFrame, label: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that join the components left in a bucket: of each block's links between components, a spanning forest."""
+    sized = members.join(nodes.select("node", "n_shingles"), "node")
+    named = sized.join(label, "node", "left").withColumn("label", F.coalesce("label", "node")).withColumn("vol", F.greatest("n_shingles", F.lit(LEAST)))
+    parts = stored(named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("vol").alias("vol")), "parts")
+    mixed = parts.groupBy("band").agg(F.sum("n").alias("size"), F.sum("vol").alias("vol"), F.max(F.struct("n", "label", "vol")).alias("top"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
+    chunks = lambda vol: F.ceil(vol / VOLUME).cast("int")
+    mixed = stored(mixed.select("band", "size", F.col("top.label").alias("main"), chunks(F.col("vol")).alias("na"), chunks(F.col("vol") - F.col("top.vol")).alias("nb")), "mixed")
     if mixed.limit(1).count() == 0:
         return members.select("node", F.col("node").alias("center")).limit(0)
     rows = stored(attach(named.select("band", "node", "label"), mixed, "band", "size"), "mixed_rows")
-    chunks = F.ceil(F.col("size") / CHUNK).cast("int")
-    left = rows.select("band", F.pmod(F.hash("node"), chunks).alias("chunk"), "node", "label", F.lit(False).alias("rest"))
-    right = rows.filter(F.col("label") != F.col("main")).select("band", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), "node", "label", F.lit(True).alias("rest"))
-    tasks = max(1, rows.count() // ROWS)
-    full = left.unionByName(right).join(nodes.select("node", "sig", "n_shingles"), "node").withColumn("task", F.pmod(F.xxhash64("band", "chunk"), F.lit(tasks)))
+    rest = F.col("label") != F.col("main")
+    left = rows.select("band", F.pmod(F.hash("node"), "na").alias("a"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "node", "label", rest.cast("int").alias("role"))
+    right = rows.filter(rest).select("band", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), F.pmod(F.hash("node"), "nb").alias("b"), "node", "label", F.lit(2).alias("role"))
+    both = left.unionByName(right)
+    about = nodes.select("node", "sig", "bands", "n_shingles")
 
     def search(frame):
+        """Members of each block with a candidate there."""
+        import pandas as pd
+
+        frame = frame.reset_index(drop=True)
+        frame["at"] = np.arange(len(frame))
+        size, sig, bands = arrays(frame)
+        kind, name = pd.factorize(frame["label"])[0], pd.factorize(frame["node"], sort=True)[0]
+        hit = np.zeros(len(frame), bool)
+        for band, _, _, one, odd, many in blocks(frame):
+            for k in many:
+                found = candidates(one[kind[one] != kind[k]], k, size, sig, bands, band)
+                found = [i for i in found if i not in odd or name[i] < name[k]]
+                hit[found] = True
+                hit[k] |= bool(found)
+        return frame.loc[hit, ["band", "a", "b", "node", "label", "role"]]
+
+    tasks = max(1, rows.count() // ROWS)
+    found = both.join(about, "node").withColumn("task", F.pmod(F.xxhash64("band", "a", "b"), F.lit(tasks))).groupBy("task")
+    found = stored(found.applyInPandas(search, "band long, a int, b int, node binary, label binary, role int"), "found")
+    tasks = max(1, found.count() // ROWS)
+    places = found.withColumn("task", F.pmod(F.xxhash64("band", "a", "b"), F.lit(tasks))).groupBy("task", "node", "label").agg(F.collect_list(F.struct("band", "a", "b", "role")).alias("places"))
+    full = stored(places, "places").join(nodes.select("node", "key", "sig", "bands", "n_shingles"), "node").join(keyed(docs).select("key", "text"), "key")
+
+    def compare(frame):
         import pandas as pd
+        import xxhash
 
-        frame = frame.sort_values(["band", "chunk"])
-        rest, band, chunk = (frame[c].to_numpy() for c in ("rest", "band", "chunk"))
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint8).reshape(len(frame), -1)
-        kind, size, nodes_, out = pd.factorize(frame["label"])[0], frame["n_shingles"].to_numpy(), frame["node"].to_numpy(), set()
-        edges = np.flatnonzero(np.r_[True, (band[1:] != band[:-1]) | (chunk[1:] != chunk[:-1]), True])
-        for lo, hi in zip(edges, edges[1:]):
-            one, many = lo + np.flatnonzero(~rest[lo:hi]), lo + np.flatnonzero(rest[lo:hi])
+        frame, shingle, keep, sets = frame.drop_duplicates(["node", "text"]), Shingler(), [], []
+        seen = set()
+        for lo in range(0, len(frame), 50):  # a key may find other texts than the node's
+            part = frame.iloc[lo : lo + 50]
+            for i, (node, x) in enumerate(zip(part["node"], shingle(part["text"].tolist()), strict=True), lo):
+                if node not in seen and xxhash.xxh3_128_digest(x.tobytes()) == node:
+                    seen.add(node)
+                    keep.append(i)
+                    sets.append(x)
+        frame = frame.iloc[keep].reset_index(drop=True)
+        size, sig, bands = arrays(frame)
+        kind, name, node = pd.factorize(frame["label"])[0], pd.factorize(frame["node"], sort=True)[0], frame["node"].to_numpy()
+        out = []
+        table = pd.DataFrame([(p["band"], p["a"], p["b"], p["role"], at) for at, each in enumerate(frame["places"]) for p in each], columns=["band", "a", "b", "role", "at"])
+        for band, _, _, one, odd, many in blocks(table):
             for k in many:
-                fits = one[(100 * np.minimum(size[one], size[k]) >= PERCENT * np.maximum(size[one], size[k])) & (kind[one] != kind[k])]
-                for i in fits[(sig[fits] == sig[k]).mean(1) >= HOPELESS] if len(fits) else ():
-                    out.add((max(nodes_[i], nodes_[k]), min(nodes_[i], nodes_[k])))
-        return pd.DataFrame(sorted(out), columns=["node", "center"])
+                for i in candidates(one[kind[one] != kind[k]], k, size, sig, bands, band):
+                    if kind[i] == kind[k] or i in odd and name[i] >= name[k]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[k], assume_unique=True))
+                    if 100 * both >= PERCENT * (len(sets[i]) + len(sets[k]) - both):
+                        out.append((node[k], node[i]))
+                        kind[kind == kind[k]] = kind[i]  # one component from here on
+        return pd.DataFrame(out, columns=["node", "center"])
 
-    return full.groupBy("task").applyInPandas(search, "node binary, center binary")
+    return full.groupBy("task").applyInPandas(compare, "node binary, center binary")
 
 
 def components(docs: DataFrame) -> DataFrame:
@@ -278,9 +343,9 @@ def components(docs: DataFrame) -> DataFrame:
     shared = stored(attach(members, buckets, "band", "n").select("band", "node", "center"), "members")
     links = verified(hopeful(shared.filter("node <> center").select("node", "center").distinct(), nodes), nodes, docs)
     label = labels(links)
-    more = stored(leftovers(shared.select("band", "node"), nodes, label), "leftovers")
+    more = stored(leftovers(shared.select("band", "node"), nodes, label, docs), "leftovers")
     if more.limit(1).count():
-        label = labels(links.unionByName(verified(more, nodes, docs)))
+        label = labels(links.unionByName(more))
     named = stored(nodes.select("node", "rep", "n_rows").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
     answer = stored(attach(named.select("node", "n_rows", "label"), least, "label", "n").select("node", "n_rows", "component_id"), "classes")
