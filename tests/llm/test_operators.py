@@ -246,7 +246,9 @@ def test_near_duplicates(docs, none):
     assert near_dedup.components(none).count() == 0 and near_dedup.one_of_each(docs).columns == docs.columns
 
 
-def test_near_duplicates_of_a_spread_group(spark):
+@pytest.mark.parametrize("volume", [near_dedup.VOLUME, 5000])  # buckets of one block and of many
+def test_near_duplicates_of_a_spread_group(spark, monkeypatch, volume):
+    monkeypatch.setattr(near_dedup, "VOLUME", volume)
     rng = np.random.default_rng(6)
     base = [f"w{x}" for x in rng.integers(0, 5000, 160)]
     rows = []
