@@ -1,10 +1,14 @@
-"""License scan by an exact set-similarity join of text blocks (lines) with license templates.
+"""License scan by an exact set-similarity join of text blocks with license templates.
+
+Blocks are lines and, for text that is wrapped, all runs of consecutive words of a document, across lines, as long as
+the template and a quarter (``reach``).
 
 A template is a set of words; a block meets it when it holds at least THRESHOLD of those words. The words of all
 templates are ordered by how many blocks of the corpus hold them, rarest first. To reach an overlap of t out of n, a
 block must hold one of the template's first n - t + 1 words (prefix), must have t words at least (length), and a
 block whose first shared word is at place p can share n - p at most (position). Blocks are joined with the prefix words,
 pairs that pass are verified on full sets. The templates are a small fixed table, so it is broadcast; blocks never are.
+Runs aren't listed: one that meets a template holds a prefix word, so only the words around prefix words are kept.
 
 Defined results: null or empty text has no words, null places, empty labels and score 0; documents that repeat are
 scanned alike, one row each; an empty table gives no rows; further columns are ignored.
@@ -73,24 +77,55 @@ def needed(size: int, threshold: float) -> int:
     return max(1, -(-size * round(threshold * 1000) // 1000))
 
 
-def containments(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
-    """row, label, share for each block and template with |block & template| >= threshold * |template|."""
-    spark = blocks.sparkSession
+def reach(text: str) -> int:
+    """Words in a run that is compared with a template: those of the template, and a quarter more, or two at least."""
+    n = len(split_words(text))
+    return n + max(2, n // 4)
+
+
+def ranked(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list, list]:
+    """(template, label, words, least, reach), and (word, template, place, size, need) of the words of prefixes."""
     held = {r["w"]: r["n"] for r in blocks.select(F.explode("shared").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the vocabulary
     table, prefixes = [], []
     for i, (label, text) in enumerate(templates):
         words = sorted({w for w in split_words(text)}, key=lambda w: (held.get(w, 0), w))
         need = needed(len(words), threshold)
-        table.append((i, label, words, need))
+        table.append((i, label, words, need, reach(text)))
         prefixes += [(w, i, p, len(words), need) for p, w in enumerate(words[: len(words) - need + 1])]
+    return table, prefixes
+
+
+def _frames(spark: SparkSession, table: list, prefixes: list) -> tuple[DataFrame, DataFrame]:
     prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, place int, size int, need int"))
-    full = F.broadcast(spark.createDataFrame(table, "template int, label string, words array<string>, least int"))
+    return prefix, F.broadcast(spark.createDataFrame(table, "template int, label string, words array<string>, least int, reach int"))
+
+
+def containments(blocks: DataFrame, table: list, prefixes: list) -> DataFrame:
+    """row, label, share for each block and template with |block & template| >= threshold * |template|."""
+    prefix, full = _frames(blocks.sparkSession, table, prefixes)
     probes = blocks.select("row", "shared", "n", F.explode("shared").alias("word"))
     met = probes.join(prefix, "word").filter((F.col("n") >= F.col("need")) & (F.size("shared") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
     both = met.join(full, "template").withColumn("overlap", F.size(F.array_intersect("shared", "words")))
     return both.filter(F.col("overlap") >= F.col("least")).select("row", "label", (F.col("overlap") / F.size("words")).alias("share"))
 
 
+def surroundings(words: Column, anchors: list[str], most: int) -> Column:
+    """Each anchor among the words, with all words that a run of ``most`` words can hold beside it."""
+    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda h: h["word"].isin(anchors))
+    near = F.transform(at, lambda h: F.struct(h["word"].alias("word"), F.slice(words, F.greatest(h["i"] - most + 2, F.lit(1)), F.lit(2 * most - 1)).alias("near")))
+    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, anchors))), near)
+
+
+def run_containments(around: DataFrame, table: list, prefixes: list) -> DataFrame:
+    """row, label, share for each template and the run of words that shares most with it, if that is enough."""
+    prefix, full = _frames(around.sparkSession, table, prefixes)
+    met = around.select("row", F.explode("near").alias("h")).select("row", "h.word", "h.near").join(prefix.select("word", "template"), "word").join(full, "template")
+    able = met.filter(F.size(F.array_intersect("near", "words")) >= F.col("least"))
+    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("reach") + 1, F.lit(1)))
+    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s, F.col("reach")), F.col("words")))))
+    return able.withColumn("overlap", best).filter(F.col("overlap") >= F.col("least")).select("row", "label", (F.col("overlap") / F.size("words")).alias("share"))
+
+
 def split_words(text: str) -> list[str]:
     import re
 
@@ -103,11 +138,16 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) ->
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
     least = min(needed(len(set(split_words(text))), threshold) for _, text in templates)
     blocks = stored(block_sets(rows, vocabulary, least), "blocks")
-    added = containments(blocks, templates, threshold).groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
+    table, prefixes = ranked(blocks, templates, threshold)
     padded = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(filled(F.col("text"))), GAP, " "), F.lit(" "))
     flat = rows.select("doc_id", "row", F.regexp_replace(padded, " {2,}", " ").alias("padded"))
-    base = flat.select("doc_id", "row", F.greatest(_spaces(F.col("padded")) - 1, F.lit(0)).cast("long").alias("n_words"), *(places(F.col("padded"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(BASE)))
-    joined = base.join(added, "row", "left")
+    split = flat.select("doc_id", "row", "padded", F.split(F.trim("padded"), " ").alias("words"))
+    around = surroundings(F.col("words"), sorted({p[0] for p in prefixes}), max(t[-1] for t in table)).alias("near")
+    base = split.select("doc_id", "row", around, F.greatest(_spaces(F.col("padded")) - 1, F.lit(0)).cast("long").alias("n_words"), *(places(F.col("padded"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(BASE)))
+    base = stored(base, "base")
+    met = containments(blocks, table, prefixes).unionByName(run_containments(base, table, prefixes))
+    added = met.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
+    joined = base.drop("near").join(added, "row", "left")
     labels = F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE))), lambda x: x.isNotNull())
     every = F.concat(*(f"p{i}" for i in range(len(BASE))))
     out = joined.select("doc_id", "n_words", every.alias("at"), labels.alias("base"), F.coalesce("added", F.array().cast("array<string>")).alias("added"), F.coalesce("share", F.lit(0.0)).alias("share"))

@@ -268,3 +268,37 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(rows) and (rows.groupby("sequence_id").length.sum() <= 2048).all()
     assert 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+WRAPPED = {
+    "mit": 'Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the "Software"), to deal',
+    "mit ": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,',
+    "apache": '# Licensed under the Apache License, Version 2.0 (the "License");\n# you may not use this file except in compliance with the License.',
+    "apache ": ' * distributed under the License is distributed on an "AS IS" BASIS,\n * WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express\n * or implied.',
+    "bsd": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:",
+}
+
+
+def test_wrapped_licenses(spark):
+    apart = "\n".join(w + " filler" * 9 for w in WRAPPED["bsd"].split())  # the words of a notice, too far from each other
+    texts = [f"some prose\n{t}\nmore prose" for t in WRAPPED.values()] + [apart]
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [found[i] for i in range(len(texts))] == [x.strip() for x in WRAPPED] + [""]
+
+
+def test_license_runs_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for _, text in licenses.TEMPLATES:
+        for drop in (0.0, 0.1, 0.2, 0.3):
+            words = [w for w in text.split() if rng.random() >= drop]
+            for at in sorted(rng.integers(0, len(words) + 1, 3), reverse=True):
+                words.insert(at, "odd")
+            texts.append("\n".join(["head", "the"] * 40 + words + ["tail", "of"] * 40))
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        words, labels = licenses.split_words(texts[r["doc_id"]]), set(filter(None, r["base_labels"].split(",")))
+        for label, t in licenses.TEMPLATES:
+            known, n = set(licenses.split_words(t)), licenses.reach(t)
+            if max(len(known & set(words[i : i + n])) for i in range(len(words) - n + 1)) >= licenses.THRESHOLD * len(known) - 1e-9:
+                labels.add(label)
+        assert set(filter(None, r["labels"].split(","))) == labels
