@@ -26,18 +26,30 @@ GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
 #: Phrase, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
-#: Label, sentence that a text block is compared with.
+#: Label, sentence that a text block is compared with. Of four words or fewer all are needed, so notices that differ in
+#: the license's name only are given by four.
 TEMPLATES = (
     ("apache", "licensed under the apache license version 2.0 you may not use this file except in compliance with the license"),
     ("apache", "distributed on an as is basis without warranties or conditions of any kind either express or implied"),
+    ("apache", "licensed under the apache license version 2 0"),
+    ("apache", "under the apache license"),
+    ("apache", "spdx license identifier apache"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", "use of this source code is governed by a bsd style license"),
+    ("bsd", "under the bsd license"),
+    ("bsd", "spdx license identifier bsd"),
     ("cc-by", "this work is licensed under a creative commons attribution license"),
+    ("cc-by", "creative commons attribution license"),
     ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
     ("gpl", "this work is licensed under the gnu general public license version 3"),
+    ("gpl", "spdx license identifier gpl"),
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
     ("mit", "released under the mit license"),
+    ("mit", "spdx license identifier mit"),
     ("mpl", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl", "the mozilla public license"),
+    ("mpl", "spdx license identifier mpl"),
     ("reserved", "all rights reserved"),
 )
 

@@ -302,3 +302,16 @@ def test_license_runs_equal_brute_force(spark):
             if max(len(known & set(words[i : i + n])) for i in range(len(words) - n + 1)) >= licenses.THRESHOLD * len(known) - 1e-9:
                 labels.add(label)
         assert set(filter(None, r["labels"].split(","))) == labels
+
+
+NOTICES = {
+    "Licensed under the Apache License, Version 2.0.": "apache", "Released under the MIT License.": "mit", "All rights reserved.": "reserved", "Licensed under CC BY-NC 4.0.": "cc-by",
+    "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under the MIT License": "mit", "Licensed under the Apache License": "apache",
+    "Use of this source code is governed by a BSD-style\nlicense that can be found in the LICENSE file.": "bsd", "Licensed under the BSD License": "bsd", "under the terms of the Mozilla Public\nLicense, v. 2.0": "mpl",
+    "a Creative Commons Attribution 4.0 License": "cc-by", "// SPDX-License-Identifier: Apache-2.0": "apache", "SPDX-License-Identifier: MIT": "mit", "SPDX-License-Identifier: BSD-3-Clause": "bsd", "SPDX-License-Identifier: MPL-2.0": "mpl", "SPDX-License-Identifier: GPL-3.0-or-later": "gpl",
+}
+
+
+def test_short_notices(spark):
+    found = {r["doc_id"]: r["labels"] for r in licenses.scan(spark.createDataFrame([(i, f"some prose\n{t}\nmore prose") for i, t in enumerate(NOTICES)], "doc_id long, text string")).collect()}
+    assert {t: found[i] for i, t in enumerate(NOTICES)} == NOTICES
