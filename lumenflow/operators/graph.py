@@ -69,6 +69,12 @@ def common_ancestor(edges: DataFrame, pairs: DataFrame, levels: int = 10) -> Dat
     return both.groupBy("a", "b").agg(F.min(F.struct("depth", "node")).alias("m")).select("a", "b", F.col("m.node").alias("lca"), F.col("m.depth").cast("int").alias("depth"))
 
 
+def sharing(edges: DataFrame, nodes: DataFrame, levels: int = 10) -> DataFrame:
+    """a, b: all pairs of nodes, a < b, that have a common ancestor within ``levels``; no other pair has a least one."""
+    up = stored(ancestors(edges, nodes, levels).select("start", "node"), "up")
+    return up.select("node", F.col("start").alias("a")).join(up.select("node", F.col("start").alias("b")), "node").filter("a < b").select("a", "b").distinct()
+
+
 def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """All (src, dst) joined by a path of one edge or more, by doubling: log(longest path) rounds."""
     known = stored(edges.select("src", "dst").distinct(), "closure")

@@ -97,3 +97,23 @@ def test_points_to_through_a_field(spark):
 def test_groups_need_two_categories(spark):
     u = spark.createDataFrame([(1, "x", 1), (1, "x", 2), (2, "x", 1), (2, "y", 1)], "method long, category string, api long")
     assert [(r["method"], r["categories"]) for r in collaboration.together(u, "method").collect()] == [(2, "x,y")]
+
+
+def test_cross_method_takes_every_pair(spark):
+    calls = [("c", "o1"), ("c", "o2"), ("o1", "p1"), ("o1", "p2"), ("o1", "p3"), ("o2", "p4"), ("d", "o3"), ("o3", "p5"), ("o3", "p6"), ("p6", "p7")]
+    used = [("p1", "x", 1), ("p2", "x", 2), ("p3", "y", 3), ("p4", "z", 4), ("p5", "x", 5), ("p6", "x", 6), ("p7", "y", 7)]
+    up = {m: {m: 0} for m, _, _ in used}
+    for seen in up.values():
+        for k in range(10):
+            seen.update({a: k + 1 for a, b in calls if seen.get(b) == k and a not in seen})
+    groups = {}
+    for a, ca, _ in used:
+        for b, cb, _ in used:
+            both = set(up[a]) & set(up[b])
+            if a < b and ca != cb and both:
+                groups.setdefault(min(both, key=lambda n: (up[b][n], n)), set()).update((a, b))
+    expected = {lca: (",".join(sorted({c for m, c, _ in used if m in ms})), len({(c, i) for m, c, i in used if m in ms})) for lca, ms in groups.items()}
+    usages = spark.createDataFrame(used, "method string, category string, api long")
+    pairs = graph.sharing(edges(spark, *calls), usages.select(F.col("method").alias("node")))
+    got = {r["lca"]: (r["categories"], r["n_apis"]) for r in collaboration.across_methods(usages, edges(spark, *calls), pairs).collect()}
+    assert got == expected and {"c", "o1"} <= set(got)
