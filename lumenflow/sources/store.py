@@ -6,25 +6,51 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[list[str]] = []
 
 
 def scratch(spark: SparkSession, what: str) -> str:
     """A new folder name below the folder the cluster names in spark.checkpoint.dir.
 
-    Where the setting is absent (local tests) it is a temporary folder of this process.
+    Where the setting is absent it is a temporary folder of this process, which only a local master can share with its
+    executors; on other masters that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="lumenflow-")
             atexit.register(shutil.rmtree, _own[app], True)
         root = _own[app]
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    path = f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    if _made:
+        _made[-1].append(path)
+    return path
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whichever file system it is."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def workspace(spark: SparkSession) -> Iterator[None]:
+    """Folders named by ``scratch`` inside are deleted at the end: write what shall stay to one named outside."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for path in _made.pop():
+            remove(spark, path)
 
 
 def stored(df: DataFrame, what: str) -> DataFrame:

@@ -1,4 +1,5 @@
 import duckdb
+import pandas as pd
 import pytest
 
 from lumenflow.plans import catalog
@@ -16,7 +17,7 @@ def db():
 
 
 def rows(frame, columns):
-    text = lambda x: "null" if x is None or x != x else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+    text = lambda x: "null" if pd.isna(x) else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
     return sorted(tuple(map(text, r)) for r in frame[columns].astype(object).itertuples(index=False, name=None))
 
 
