@@ -2,21 +2,20 @@
 
 Each text is addressed by its SHA-256. The ledger holds every (blob, rule version) pair that was scanned; only pairs
 it lacks are scanned, each blob once however many documents hold it, and the findings table is joined back to all
-documents. Matches are found by the JVM's regular expressions; their places follow from the lengths of the pieces
-between matches, in code points.
+documents. Matches are found by the JVM's regular expressions, which read a text only where one alternation of all rules
+matches it at all; the places of matches are running sums of the lengths of matches and of the pieces between them, in
+code points, so a text with many matches costs little more than its reading.
 
 Defined results: null text counts as empty and has no spans; documents that repeat are one blob and get the same
-findings; an empty table gives no rows; further columns are ignored.
+findings; a text may consist of matches only; an empty table gives no rows; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, filled, scratch, stored
+from .common import Bucketed, attach, bucket_count, documents, filled, running_sums, scratch, stored
 
 #: kind, pattern, least length of the group checked, that group. The first three are the base kinds.
 RULES = (
@@ -30,43 +29,58 @@ RULES = (
     ("urlauth", r"(?<![a-z])[a-z][a-z0-9+]{1,20}://[^\x00-\x20:/@]{1,64}:[^\x00-\x20:/@]{3,128}@", 0, 0),
 )
 BASE_KINDS = 3
-RULE_VERSION = 1
+RULE_VERSION = 2
+#: Blobs in a bucket of the ledger, and the least number of buckets.
+EACH, LEAST = 1_000_000, 16
 _SPAN = "array<struct<at:int,rank:int,end:int,kind:string>>"
 
 
-def spans(text: Column, kind: str, pattern: str, least: int, group: int, rank: int) -> Column:
-    """Array of (at, rank, end, kind): leftmost matches that do not overlap, those too short left out."""
-    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("part"))
+def find(texts: DataFrame, rules=RULES) -> DataFrame:
+    """``texts`` with ``found`` in place of ``text``: an array of (at, rank, end, kind) by place.
 
-    def step(acc: Column, x: Column) -> Column:
-        at = acc["pos"] + F.length(x["gap"])
-        end = at + F.coalesce(F.length(x["hit"]), F.lit(0))
-        one = F.array(F.struct(at.alias("at"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"))).cast(_SPAN)
-        good = x["hit"].isNotNull() & (F.length(x["part"]) >= least)
-        return F.struct(end.alias("pos"), F.when(good, F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+    Of each rule the leftmost matches that do not overlap count, those too short left out. The steps are columns of
+    their own, so that none is computed for each match.
+    """
+    pieces = texts.withColumn("any", F.col("text").rlike("|".join(f"(?:{r[1]})" for r in rules)))
+    others = [c for c in texts.columns if c != "text"]
+    cut = pieces.select(*others, *(c for k, rule in enumerate(rules) for c in _lengths(k, *rule[1:])))
+    summed = cut.select("*", *(_whole(k) for k in range(len(rules))))
+    started = summed.select("*", *(F.when(F.size(f"both{k}") > 0, running_sums(f"both{k}")).alias(f"start{k}") for k in range(len(rules))))
+    return started.select(*others, F.array_sort(F.concat(*(_spans(k, rule[0], rule[2]) for k, rule in enumerate(rules)))).alias("found"))
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast(_SPAN).alias("out"))
-    return F.when(text.rlike(pattern), F.aggregate(found, start, step, lambda acc: acc["out"])).otherwise(F.array().cast(_SPAN))
 
+def _lengths(k: int, pattern: str, least: int, group: int) -> list[Column]:
+    """Lengths of the pieces between matches, of the matches, and of their checked parts; null where nothing matches."""
+    here = F.col("any") & F.col("text").rlike(pattern)
+    hit = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
+    parts = {"gap": F.split("text", pattern, -1), "hit": hit, "part": F.regexp_extract_all("text", F.lit(pattern), F.lit(group)) if group else hit}
+    return [F.when(here, F.transform(x, lambda s: F.length(s).cast("long"))).alias(f"{name}{k}") for name, x in parts.items()]
+
+
+def _whole(k: int) -> Column:
+    return F.when(F.size(f"hit{k}") > 0, F.zip_with(f"gap{k}", f"hit{k}", lambda g, h: g + F.coalesce(h, F.lit(0)))).alias(f"both{k}")
 
-def shown(found: Column) -> Column:
-    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["end"].cast("string"))), ",")
 
+def _spans(k: int, kind: str, least: int) -> Column:
+    """(at, rank, end, kind) of a rule's matches, from where each piece starts."""
+    zipped = F.zip_with(F.arrays_zip(F.col(f"gap{k}").alias("g"), F.col(f"hit{k}").alias("h"), F.col(f"part{k}").alias("p")), f"start{k}", lambda x, s: F.struct((x["g"] + s).alias("at"), x["h"].alias("h"), x["p"].alias("p")))
+    good = F.filter(zipped, lambda x: x["h"].isNotNull() & (x["p"] >= least))
+    one = F.transform(good, lambda x: F.struct(x["at"].alias("at"), F.lit(k).alias("rank"), (x["at"] + x["h"]).alias("end"), F.lit(kind).alias("kind")))
+    return F.when(F.size(f"hit{k}") > 0, one.cast(_SPAN)).otherwise(F.array().cast(_SPAN))
 
-class Ledger:
-    """Scanned (blob, rule version) pairs and their findings, in one table bucketed by blob."""
 
-    SCHEMA = f"digest BINARY, version INT, found {_SPAN}"
+def shown(found: Column) -> Column:
+    return F.array_join(F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["at"].cast("string"), s["end"].cast("string"))), ",")
+
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
-        self.spark, self.path, self.buckets, self.name = spark, path, buckets, f"ledger_{uuid.uuid4().hex}"
-        spark.sql(f"CREATE TABLE {self.name} ({self.SCHEMA}) USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'")
+class Ledger(Bucketed):
+    """Scanned (blob, rule version) pairs and their findings. ``expected``: blobs it is to hold, when it is new."""
 
-    def rows(self, version: int) -> DataFrame:
-        return self.spark.table(self.name).filter(F.col("version") == version)
+    def __init__(self, spark: SparkSession, path: str, expected: int = 0):
+        super().__init__(spark, path, f"digest BINARY, version INT, found {_SPAN}", "digest", bucket_count(expected, EACH, LEAST))
 
-    def append(self, rows: DataFrame) -> None:
-        rows.write.format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").option("path", self.path).mode("append").saveAsTable(self.name)
+    def of(self, version: int) -> DataFrame:
+        return self.rows().filter(F.col("version") == version)
 
 
 def scan(docs: DataFrame, ledger: Ledger, rules=RULES, version: int = RULE_VERSION) -> DataFrame:
@@ -74,23 +88,30 @@ def scan(docs: DataFrame, ledger: Ledger, rules=RULES, version: int = RULE_VERSI
     addressed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     paths = stored(addressed.select("doc_id", "digest"), "paths")
     blobs = stored(paths.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("n_rows")), "blobs")
-    unseen = blobs.join(ledger.rows(version).select("digest").hint("merge"), "digest", "left_anti").select(F.col("digest").alias("blob"), "first_id")
+    unseen = blobs.join(ledger.of(version).select("digest").hint("merge"), "digest", "left_anti").select(F.col("digest").alias("blob"), "first_id")
     chosen = addressed.join(unseen, (F.col("digest") == F.col("blob")) & F.col("doc_id").eqNullSafe(F.col("first_id")), "left_semi")
-    every = F.array_sort(F.concat(*(spans(F.col("text"), *rule, rank) for rank, rule in enumerate(rules))))
-    found = chosen.select("digest", F.lit(version).alias("version"), every.alias("found"))
-    ledger.append(found.groupBy("digest").agg(F.first("version").alias("version"), F.first("found").alias("found")))
-    answers = stored(blobs.select("digest", "n_rows").join(ledger.rows(version).select("digest", "found"), "digest"), "answers")
+    found = find(chosen.select("digest", "text"), rules)
+    ledger.append(found.groupBy("digest").agg(F.first("found").alias("found")).withColumn("version", F.lit(version)))
+    answers = stored(blobs.select("digest", "n_rows").join(ledger.of(version).select("digest", "found"), "digest"), "answers")
     return attach(paths, answers, "digest", "n_rows").select("doc_id", "found")
 
 
 def digested(found: DataFrame) -> DataFrame:
     base = F.filter("found", lambda s: s["rank"] < BASE_KINDS)
-    counts = [F.size(F.filter("found", lambda s, k=k: s["rank"] == k)).cast("long").alias(f"n_{RULES[k][0]}") for k in range(BASE_KINDS)]
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["rank"] == rank)).cast("long")
+
+    counts = [count(k).alias(f"n_{RULES[k][0]}") for k in range(BASE_KINDS)]
     return found.select("doc_id", *counts, F.sha2(shown(base), 256).alias("base_sha256"), shown(F.col("found")).alias("spans"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digested(scan(documents(spark, sf_dir), Ledger(spark, scratch(spark, "ledger"))))
+    docs = documents(spark, sf_dir)
+    ledger = Ledger(spark, scratch(spark, "ledger"), docs.count())
+    report = digested(scan(docs, ledger))
+    ledger.close()
+    return report
 
 
 QUERIES, SQL = {"op2_secret_scan": op2_secret_scan}, {}

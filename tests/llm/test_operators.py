@@ -55,19 +55,52 @@ def test_exact_dedup_in_batches(spark):
     exact_dedup.deduplicate(make((5, "x"), (6, "y")), index)
     got = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in exact_dedup.deduplicate(make((1, "x"), (2, "z")), index).collect()}
     assert got == {1: (5, False), 2: (2, True)}
-    assert index.rows().count() == 3
+    assert {r["digest"] for r in index.rows().collect()} == {hashlib.sha256(x.encode()).digest() for x in "xyz"}
+
+
+def test_exact_dedup_counts_all_batches(spark):
+    path = scratch(spark, "index")
+    make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string, _keep string, key string, row string")
+    sizes = []
+    for name, i in (("a", 5), ("b", 1), ("c", 7), ("c", 7)):  # the last batch is repeated
+        index = exact_dedup.DigestIndex(spark, path, 10_000_000)
+        sizes.append([(r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.deduplicate(make((i, "x", "", "", "")), index, name).collect()])
+        index.close()
+    assert sizes == [[(5, 1, True)], [(5, 2, False)], [(5, 3, False)], [(5, 3, False)]]
+    index = exact_dedup.DigestIndex(spark, path)
+    assert index.buckets == 16 and index.rows().count() == 3
+    left = exact_dedup.drop_copies(make((1, "x", "", "", ""), (2, "new", "p", "q", "r"), (2, "new", "p", "q", "r"), (3, "new", "", "", "")), index).collect()
+    assert [tuple(r) for r in left] == [(2, "new", "p", "q", "r")]
 
 
 BASE = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), 6, 2), ("access", re.compile(r"AKIA[A-Z0-9]+"), 20, 0), ("hex", re.compile("[0-9a-f]+"), 24, 0))
 
 
+def brute_secrets(text):
+    """Counts of the base kinds, digest of their spans, all spans."""
+    found = [(m.start(), k, m.end(), name) for k, (name, p, least, group) in enumerate(BASE) for m in p.finditer(text) if len(m.group(group)) >= least]
+    more = [(m.start(), k, m.end(), name) for k, (name, p, least, group) in enumerate(secrets.RULES) if k >= len(BASE) for m in re.finditer(p, text) if len(m.group(group)) >= least]
+    shown = lambda rows: ",".join(f"{name}:{a}:{b}" for a, _, b, name in sorted(rows))
+    return (*(sum(x[1] == k for x in found) for k in range(3)), hashlib.sha256(shown(found).encode()).hexdigest(), shown(found + more))
+
+
+def test_secrets_of_whole_documents(spark):
+    folder = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets.op2_secret_scan(spark, folder).collect()}
+    docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text").collect()
+    assert got == {r["doc_id"]: brute_secrets(r["text"] or "") for r in docs}
+    assert sum(x[0] for x in got.values()) and sum(x[2] for x in got.values())
+
+
+def test_many_secrets_in_a_text(spark):
+    texts = ["token=abcdef " * 100_000, "AKIA" + "A" * 500_000, "0123456789abcdef" * 20_000 + "x", "eyJ" * 50_000, "\U0001f600token:abcdef\U0001f600" * 300, KEY + KEY]
+    got = {r["doc_id"]: tuple(r)[1:] for r in secrets.digested(secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), secrets.Ledger(spark, scratch(spark, "ledger")))).collect()}
+    assert got == {i: brute_secrets(t) for i, t in enumerate(texts)}
+
+
 def test_secrets(spark, docs, none):
-    got = {(r["doc_id"], r["base_sha256"]) for r in secrets.digested(secrets.scan(docs, secrets.Ledger(spark, scratch(spark, "ledger")))).collect()}
-    expected = set()
-    for i, t in texts():
-        found = sorted((m.start(), k, f"{name}:{m.start()}:{m.end()}") for k, (name, p, least, group) in enumerate(BASE) for m in p.finditer(t) if len(m.group(group)) >= least)
-        expected.add((i, hashlib.sha256(",".join(x[2] for x in found).encode()).hexdigest()))
-    assert got == expected
+    got = {tuple(r) for r in secrets.digested(secrets.scan(docs, secrets.Ledger(spark, scratch(spark, "ledger")))).collect()}
+    assert got == {(i, *brute_secrets(t)) for i, t in texts()}
     assert secrets.scan(none, secrets.Ledger(spark, scratch(spark, "ledger"))).count() == 0
 
 
@@ -76,7 +109,7 @@ def test_secrets_scan_a_blob_once(spark):
     make = lambda *rows: spark.createDataFrame(rows, "doc_id long, text string")
     secrets.scan(make((1, KEY), (2, KEY)), ledger)
     assert [len(r["found"]) for r in secrets.scan(make((7, KEY), (8, "z")), ledger).orderBy("doc_id").collect()] == [1, 0]
-    assert ledger.rows(secrets.RULE_VERSION).count() == 2
+    assert ledger.of(secrets.RULE_VERSION).count() == 2
 
 
 def test_packing(docs, none):
