@@ -19,6 +19,7 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -33,60 +34,87 @@ VOCABULARY = "word_bpe_49k.json"
 CHUNK_TOKENS = 2_000_000
 #: Windows in a step group, on average.
 GROUP = 32
-#: Words, and pieces of words, that a process remembers; about 200 bytes each.
-CACHE, PARTS = 600_000, 1_000_000
-_ASCII = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+")
-_MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Words a process remembers while a task runs, about 200 bytes each; when full, the KEEP first met stay.
+CACHE, KEEP = 300_000, 150_000
+#: Parts that the merge rules get in one string, and texts that are encoded together.
+LINE, TEXTS = 500, 2000
+#: Characters other than ASCII letters, digits and marks, and Latin letters; these the rules neither compose
+#: nor treat as one. An apostrophe may start a part of its own.
+_ODD = re.compile("[^!-&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]")
+_PARTS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff\t-\r ]+")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, window long, step_group long"
 
 
 class Encoder:
     """Token ids of texts, remembered by word.
 
-    The vocabulary's rules drop white space, lower-case, and part letters from digits and from other marks, so a text
-    may be encoded in pieces cut at such places. Pieces are cut only where the cut is certain: ASCII words without
-    apostrophes at every change of kind, other words before their last marks.
+    The vocabulary's rules drop white space, lower-case, and part letters, digits and other marks from each other, so a
+    text may be encoded word by word. Plain words are cut into such parts here and new parts meet the merge rules alone,
+    many in one string: a part's last token is known by the mark of word ends. Words with any other character are
+    encoded by the whole tokenizer.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer, self.words, self.parts = Tokenizer.from_file(path), {}, {}
-
-    def cut(self, word: str) -> list[str]:
-        if "<|" in word:
-            return [word]
-        if word.isascii() and "'" not in word:
-            return _ASCII.findall(word.lower())
-        core = word.rstrip(_MARKS)
-        return [core, word[len(core) :]] if core != word and core[-1:].isalpha() else [word]
-
-    def learn(self, new: list[bytes]) -> None:
-        cuts = [self.cut(w.decode()) for w in new]
-        unknown = list({p for parts in cuts for p in parts}.difference(self.parts))
-        for e, p in zip(self.tokenizer.encode_batch_fast(unknown, add_special_tokens=False), unknown, strict=True):
-            self.parts[p] = array("I", e.ids).tobytes()
-        for w, parts in zip(new, cuts, strict=True):
-            self.words[w] = b"".join([self.parts[p] for p in parts])
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.encode().split() for t in texts]
-        if len(self.words) > CACHE:
-            self.words.clear()
-        if len(self.parts) > PARTS:
-            self.parts.clear()
-        new = list({w for words in split for w in words}.difference(self.words))
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        seen, end = self.words, array("I", [END]).tobytes()
-        return [np.frombuffer(b"".join([*map(seen.__getitem__, words), end]), "<u4") for words in split]
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.merges, self.known = Tokenizer.from_file(path), Tokenizer.from_file(path), {}
+        self.merges.normalizer, self.merges.pre_tokenizer = None, pre_tokenizers.WhitespaceSplit()
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spell = {chr(c): level.pre_tokenize_str(chr(c))[0][0] for c in (*range(0xDF, 0xF7), *range(0xF8, 0x100))}
+
+    def spelled(self, line: str) -> str:
+        """Letters of two bytes as the vocabulary spells them."""
+        if not line.isascii():
+            for letter, two in self.spell.items():
+                line = line.replace(letter, two)
+        return line
+
+    def learn(self, new: list[str]) -> None:
+        odd = [w for w in new if _ODD.search(w) or "<|" in w]
+        plain = list(set(new).difference(odd)) if odd else new
+        cuts = [_PARTS.findall(w.lower()) for w in plain]
+        parts = list(set().union(*cuts))
+        lines = [self.spelled(" ".join(parts[at : at + LINE])) for at in range(0, len(parts), LINE)]
+        ids = np.fromiter(chain.from_iterable(e.ids for e in self.merges.encode_batch_fast(lines, add_special_tokens=False)), "<u4")
+        stops = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        if len(stops) != len(parts):
+            raise ValueError("a part of a word has another number of ends than one")
+        raw = ids.tobytes()
+        look = {p: raw[a:b] for p, a, b in zip(parts, [0, *stops[:-1].tolist()], stops.tolist())}.__getitem__
+        self.known.update((w, look(cut[0]) if len(cut) == 1 else b"".join(map(look, cut))) for w, cut in zip(plain, cuts))
+        for w, e in zip(odd, self.whole.encode_batch_fast(odd, add_special_tokens=False), strict=True):
+            self.known[w] = array("I", e.ids).tobytes()
+
+    def __call__(self, texts) -> list[np.ndarray]:
+        """Ids of each text of an Arrow array without nulls, the end mark last."""
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(texts)
+        held = split.flatten().dictionary_encode()
+        words = held.dictionary.to_pylist()
+        if len(self.known) > CACHE:
+            self.known = dict(islice(self.known.items(), KEEP))
+        self.learn([w for w in words if w not in self.known])
+        each = [*map(self.known.__getitem__, words), array("I", [END]).tobytes()]
+        flat = np.frombuffer(b"".join(each), "<u4")
+        sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+        starts = np.cumsum(sizes) - sizes
+        ends = split.offsets.to_numpy()[1:] - split.offsets.to_numpy()[0]
+        word = np.insert(held.indices.to_numpy(), ends, len(words))
+        n = sizes[word]
+        before = np.cumsum(n) - n
+        ids = flat[np.repeat(starts[word] - before, n) + np.arange(n.sum())]
+        return np.split(ids, (before + n)[ends + np.arange(len(ends))][:-1]) if len(ends) else []
 
 
 _encoders: dict[str, Encoder] = {}
 
 
 def encoder(path: str) -> Encoder:
-    """One a process: a worker keeps what it has learnt for its next task."""
+    """One a process; what it has learnt of words is dropped at the end of a task."""
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     if path not in _encoders:
         _encoders[path] = Encoder(path)
@@ -179,8 +207,8 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS) -> DataFrame:
         ids, tokens, held = [], [], 0
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(keys), 256):
-                for key, x in zip(keys[at : at + 256], encode(texts[at : at + 256].to_pylist()), strict=True):
+            for at in range(0, len(keys), TEXTS):
+                for key, x in zip(keys[at : at + TEXTS], encode(texts.slice(at, TEXTS)), strict=True):
                     ids.append(key)
                     tokens.append(x)
                     held += len(x)
@@ -188,6 +216,7 @@ def packed(docs: DataFrame, vocabulary: str, tiers=TIERS) -> DataFrame:
                         yield from arrow(flush(ids, tokens))
                         ids, tokens, held = [], [], 0
         yield from arrow(flush(ids, tokens))
+        encode.known.clear()  # a worker process outlives its task
 
     def arrow(frame) -> Iterator:
         import pyarrow as pa
