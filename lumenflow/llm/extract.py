@@ -1,13 +1,13 @@
 """Main text of web pages: flat blocks, shallow features, a decision tree.
 
 A page is cut into blocks at block-level tags. A block's features are its number of words and link density, those of
-the blocks before and after, and what encloses it: an article, boilerplate elements, or an element whose class, id or
-role names a kind of boilerplate. A decision tree trained on TABLE, a small labelled table of blocks, says which blocks
-are main text.
+the blocks before and after, and what encloses it: an article, an element for boilerplate, or an element whose class, id
+or role names a kind of boilerplate. A decision tree is trained on the blocks of SAMPLES, a few pages each of whose
+blocks is labelled, and says which blocks of other pages are main text. A page is read once, in linear time.
 
 Defined results: null or empty html, and pages without a main block, give empty text; unclosed elements end with the
-page or with an enclosing element; pages that repeat give one row each; an empty table gives no rows; further columns
-are ignored.
+page or with an enclosing element, end tags without an element are passed over; pages that repeat give one row each; an
+empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
-from itertools import product
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,37 +22,52 @@ from pyspark.sql import functions as F
 from .common import ship
 
 #: Elements that end a block.
-BLOCK = frozenset("address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html iframe legend li main menu nav ol option p pre section select summary table tbody td tfoot th thead tr ul".split())
-#: Elements whose content is no text of the page.
-SILENT = frozenset("script style head noscript template svg math iframe object canvas select textarea title button".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-BOILER = frozenset("nav footer aside form menu dialog".split())
-MAIN = frozenset("article main".split())
-#: Names in class, id or role that mark boilerplate.
-HINT = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|comment\w*|complementary|contentinfo|cookies?|consent|disqus|footer|header|login|masthead|menu|modal|nav\w*|newsletter|notices?|notification|pager|pagination|popup|promo\w*|related|repl(?:y|ies)|search|share|sharing|sidebar|signup|site-?header|social|sponsor\w*|subscribe|tags?|toolbar|widget)(?:$|[\s_-])", re.I)
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))*+)>?", re.S)
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+BLOCK = frozenset(("address", "article", "aside", "blockquote", "body", "button", "caption", "center", "dd", "details", "dialog", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "frameset", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "iframe", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "select", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"))
+#: Elements whose content is no text of the page, and those of them whose content is no markup either.
+SILENT = frozenset(("script", "style", "head", "noscript", "template", "svg", "math", "iframe", "object", "canvas", "select", "textarea", "title", "button"))
+RAW = frozenset(("script", "style", "textarea", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+BOILER = frozenset(("nav", "footer", "aside", "form", "menu", "dialog"))
+MAIN = frozenset(("article", "main"))
+#: Tags that an opening tag of the same name closes.
+SOLE = frozenset(("p", "li", "dt", "dd", "tr", "td", "th", "option"))
+#: Parts of a class, id or role that name boilerplate wherever it is; that name it unless an article begins inside; and
+#: that name it outside of articles only.
+ALWAYS = re.compile(r"(?:ads?|advert\w*|comments?|commentlist|replies|reply|disqus|related|promo\w*|sponsor\w*|newsletter|cookies?|consent|popup|modal|notices?|notification|subscribe|signup|login)")
+AROUND = re.compile(r"(?:sidebar|nav\w*|menu|breadcrumbs?|pager|pagination|share|sharing|social|search|tags?|toolbar|widget|footer|complementary|contentinfo)")
+OUTSIDE = re.compile(r"(?:header|masthead|banner|topbar)")
+#: Beginnings of names that tell of a layout, not of what an element holds.
+_LAYOUT = re.compile(r"(?:has|no|not|with|without|hide|is)[-_]")
+_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>=]++|=\s*+(?:\"[^\"]*+(?:\"|$)|'[^']*+(?:'|$))?)*+)>?", re.S)
+_NAMES = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
-#: Tags that an opening tag of the same group closes.
-_SOLE = ("p", "li", "dt", "dd", "tr", "td", "th", "option")
 
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "hinted")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "in_main", "in_boiler", "named", "page_has_main")
+_LONG = "The committee met on Tuesday and heard the report of the board about the new bridge, which is to be opened in spring if the weather allows."
+_MID = "Both sides agreed to meet again next month, and nobody objected."
+#: The labelled pages: fragments in page order, each one block, and whether it is main text.
+SAMPLES = (
+    (("<nav><ul><li><a href=/>Home</a></ul></nav>", 0), ("<article><h1>Bridge opens</h1>", 1), (f"<p>{_LONG}</p>", 1), (f"<p>{_MID}</p>", 1), ("<p>So be it.</p></article>", 1), ("<footer>All about us</footer>", 0)),
+    (("<header><h1>The Courier</h1></header>", 0), (f"<div class=ad>{_MID}</div>", 0), ("<main><h2>Weather</h2>", 1), (f"<p>{_LONG}", 1), ("<ul><li><a href=a>Full</a> forecast for the whole of the week</ul>", 1), (f"<aside>{_MID}</aside>", 0), ("<p>Rain.</p></main>", 1), (f"<div>{_MID}</div>", 0)),
+    (("<ul><li><a href=a>Sports</a></li>", 0), ("<li><a href=b>World news</a></li></ul>", 0), ("<h1>A walk in the hills</h1>", 1), (f"<p>{_LONG}</p>", 1), (f"<p>{_MID} {_LONG}</p>", 1), ("<p><a href=c>More walks like this one here</a></p>", 0), (f"<div id=footer>{_MID}</div>", 0)),
+    (("<p>First note.</p>", 1), ("<p>Second note here.</p>", 1)),
+    (("<div>Only one line.</div>", 1),),
+    (("<div><a href=a>One</a> <a href=b>Two</a></div>", 0), (f"<div>{_LONG}</div>", 1), ("<div>Yes.</div>", 1), ("<div><a href=a>Next page of it</a></div>", 0)),
+    ((f"<article><p>{_MID}</p>", 1), (f"<section id=comments><p>{_LONG}</p></section>", 0), ("<div class=share-buttons>Share it</div></article>", 0), ("<div class=cookie-notice>We use cookies</div>", 0)),
+    ((f"<article><p>{_LONG}</p>", 1), ("<p><a href=a>A line that is one link</a></p>", 1), ("<pre>x = 1</pre>", 1), ("<table><tr><td>Total</td>", 1), ("<td>12</td></tr></table></article>", 1), (f"<section><p>{_LONG}</p></section>", 0), ("<p>Subscribe now</p>", 0)),
+    ((f"<div class=sidebar><p>{_LONG}</p></div>", 0), (f"<div class=post><p>{_LONG}</p>", 1), ("<blockquote>Never again.</blockquote>", 1), (f"<p>{_MID}</p></div>", 1), (f"<form><p>{_MID}</p></form>", 0), (f"<nav>{_LONG}</nav>", 0), ("<footer>Us</footer>", 0)),
+    ((f"<main><p>{_LONG}</p></main>", 1), ("<p>Terms</p>", 0), ("<p><a href=a>Terms</a></p>", 0), (f"<div class=promo>{_LONG}</div>", 0)),
+    (("<main><p>Short.</p>", 1), ("<p><a href=a>Go</a></p>", 1), ("<aside>Note</aside>", 0), ("<div class=related><a href=b>See this</a></div></main>", 0), ("<footer><a href=a>Imprint</a></footer>", 0)),
+    ((f"<footer>{_LONG}</footer>", 0), ("<p>Just a line of text.</p>", 1), ("<p>And one more of them.</p>", 1), ("<menu><li>Cut</menu>", 0), ("<div class=comment>I like it</div>", 0)),
+)
 
 
 def labelled_table() -> list[tuple[tuple, int]]:
-    """Blocks of every kind of place, size and neighbourhood, each labelled 1 where an editor would call it main text.
-
-    Inside an article everything counts that is not boilerplate there. Outside of one, long blocks without many links
-    count, and short ones beside such a block.
-    """
-    beside = ((0, 0.0), (2, 1.0), (9, 0.0), (40, 0.0))
+    """Features and label of each block of the labelled pages."""
     rows = []
-    for flags in ((1, 0, 0), (0, 0, 0), (0, 1, 0), (1, 1, 0), (0, 0, 1), (1, 0, 1)):
-        for words, links, before, after in product((1, 2, 5, 9, 14, 30, 80), (0.0, 0.2, 0.6, 1.0), beside, beside):
-            main, boiler, named = flags
-            long_beside = any(w >= 20 and k < 0.3 for w, k in (before, after))
-            plain = links < 0.5 and (words >= 12 or long_beside)
-            rows.append(((words, links, *before, *after, *flags), int(not boiler and not named and (bool(main) or plain))))
+    for page in SAMPLES:
+        found = features(blocks("".join(fragment for fragment, _ in page)))
+        rows += zip(found, (label for _, label in page), strict=True)
     return rows
 
 
@@ -89,26 +103,68 @@ def decide(tree, x) -> int:
     return tree
 
 
+def named(attributes: str) -> int:
+    """What class, id and role say: 0 nothing, 1 boilerplate outside of articles, 2 unless an article begins inside, 3 always."""
+    found = 0
+    for groups in _NAMES.findall(attributes):
+        for token in re.sub(r"(?<=[a-z])(?=[A-Z])", "-", "".join(groups)).lower().split():
+            if not _LAYOUT.match(token):
+                for part in re.split("[-_]+", token):
+                    found = max(found, 3 if ALWAYS.fullmatch(part) else 2 if AROUND.fullmatch(part) else 1 if OUTSIDE.fullmatch(part) else 0)
+    return found
+
+
+class Open:
+    """Open elements; any is found by its name, and the last block among them, without a search."""
+
+    def __init__(self):
+        self.flags: list[tuple[bool, int, int, bool]] = []  # main; boilerplate: 0, 1 unless an article begins, 2; named; silent
+        self.names: list[str] = []
+        self.at: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+
+    def state(self) -> tuple[bool, int, int, bool]:
+        return self.flags[-1] if self.flags else (False, 0, 0, False)
+
+    def push(self, name: str, flags: tuple[bool, int, int, bool]) -> None:
+        self.at.setdefault(name, []).append(len(self.names))
+        if name in BLOCK:
+            self.blocks.append(len(self.names))
+        self.names.append(name)
+        self.flags.append(flags)
+
+    def pop(self, k: int) -> None:
+        """Close element k and all in it."""
+        while len(self.names) > k:
+            name = self.names.pop()
+            self.flags.pop()
+            self.at[name].pop()
+            if name in BLOCK:
+                self.blocks.pop()
+
+    def close(self, name: str) -> None:
+        """What an end tag closes; one of an inline element closes no block."""
+        places = self.at.get(name)
+        if places and (name in BLOCK or name in SILENT or not self.blocks or self.blocks[-1] < places[-1]):
+            self.pop(places[-1])
+
+
 def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, in article or main, in boilerplate, named as boilerplate) of each block."""
-    out, text, linked = [], [], 0
-    open_tags: list[tuple[str, bool, bool, bool, bool]] = []  # name, main, boilerplate, named, silent
-    link = False
-
-    def state():
-        return open_tags[-1][1:] if open_tags else (False, False, False, False)
+    out, text, linked, link = [], [], 0, False
+    tags = Open()
 
     def end():
         nonlocal text, linked
         joined = " ".join("".join(text).split())
         if joined:
-            main, boiler, named, _ = state()
-            out.append((joined, joined.count(" ") + 1, linked, main, boiler, named))
+            main, boiler, name, _ = tags.state()
+            out.append((joined, joined.count(" ") + 1, linked, main, boiler > 0, name > (1 if main else 0)))
         text, linked = [], 0
 
     def say(raw: str):
         nonlocal linked
-        if raw and not state()[3]:
+        if raw and not tags.state()[3]:
             x = html.unescape(raw) if "&" in raw else raw
             text.append(x)
             if link:
@@ -121,7 +177,7 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         if not m:
             break
         at = m.end()
-        name = (m[2] or "").lower()
+        name, more = (m[2] or "").lower(), m[3] or ""
         if not name:
             continue
         if m[1]:
@@ -129,50 +185,51 @@ def blocks(page: str) -> list[tuple[str, int, int, bool, bool, bool]]:
                 link = False
             if name in BLOCK:
                 end()
-            k = next((i for i in range(len(open_tags) - 1, -1, -1) if open_tags[i][0] == name), None)
-            if k is not None and (name in BLOCK or name in SILENT or k == len(open_tags) - 1):
-                del open_tags[k:]
-            elif k is not None and not any(t[0] in BLOCK for t in open_tags[k:]):
-                del open_tags[k:]
+            tags.close(name)
             continue
         if name == "br":
             text.append(" ")
             continue
         if name in BLOCK:
             end()
-            if open_tags and name in _SOLE and open_tags[-1][0] == name:
-                open_tags.pop()
-        if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK and name not in SILENT:
+            if name in SOLE and tags.names and tags.names[-1] == name:
+                tags.pop(len(tags.names) - 1)
+        if name in VOID or more.rstrip().endswith("/") and name not in BLOCK and name not in SILENT:
             continue
-        if name in ("script", "style", "textarea", "title") and not m[3].rstrip().endswith("/"):  # raw text up to the end tag
+        if name in RAW and not more.rstrip().endswith("/"):  # raw text up to the end tag
             close = re.compile(rf"</{name}\b[^>]*>?", re.I).search(page, at)
             at = close.end() if close else n
             continue
         if name == "a":
             link = True
-        main, boiler, named, silent = state()
+        main, boiler, hint, silent = tags.state()
         if name == "body":
             silent = False
-        hint = any(HINT.search(next(v for v in g if v or v is g[-1])) for g in _NAMES.findall(m[3])) if "=" in m[3] and name not in ("html", "body") else False
-        page_header = name == "header" and not main
-        hidden = bool(_HIDDEN.search(m[3])) if m[3] else False
-        if name in BLOCK or name in SILENT or hint or hidden:
-            hint = hint and name not in MAIN
-            open_tags.append((name, main or name in MAIN, boiler or name in BOILER or page_header, named or hint, silent or name in SILENT or hidden))
+        says = named(more) if "=" in more and name not in ("html", "body") else 0
+        hidden = bool(more) and bool(_HIDDEN.search(more))
+        if name in MAIN:  # an article or the page's main part begins
+            main, boiler, hint = True, 0 if boiler == 1 else boiler, hint if hint == 3 else 0
+            says = says if says == 3 and name == "article" else 0
+        elif name in BOILER:
+            boiler = max(boiler, 1 if name == "form" else 2)
+        elif name == "header" and not main:
+            boiler = max(boiler, 1)
+        if name in BLOCK or name in SILENT or says or hidden:
+            tags.push(name, (main, boiler, max(hint, says), silent or name in SILENT or hidden))
     end()
     return out
 
 
+def features(found: list[tuple[str, int, int, bool, bool, bool]]) -> list[tuple]:
+    """FEATURES of each block."""
+    edge, shape, has_main = (0, 0.0), [(w, min(1.0, k / w)) for _, w, k, *_ in found], int(any(b[3] and not b[4] and not b[5] for b in found))
+    around = [edge, *shape, edge]
+    return [(*shape[i], *around[i], *around[i + 2], *map(int, flags), has_main) for i, (_, _, _, *flags) in enumerate(found)]
+
+
 def main_text(page: str, tree) -> str:
     found = blocks(page)
-    edge = (0, 0.0)
-    shape = [(w, k / w) for _, w, k, *_ in found]
-    kept = []
-    for i, (text, _, _, *flags) in enumerate(found):
-        x = (*shape[i], *(shape[i - 1] if i else edge), *(shape[i + 1] if i + 1 < len(found) else edge), *map(int, flags))
-        if decide(tree, x):
-            kept.append(text)
-    return " ".join(kept)
+    return " ".join(b[0] for b, x in zip(found, features(found)) if decide(tree, x))
 
 
 def extracted(pages: DataFrame) -> DataFrame:
