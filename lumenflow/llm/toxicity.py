@@ -1,16 +1,19 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are built from a bounded sample of labelled training rows: one from words of toxic texts
-that hold a fragment far more common there, one from the words of ordinary texts. A window is a word; its bytes are
-widened four times so that even a short match outweighs the fixed cost of a match. The triple (length, bytes under the
-ordinary dictionary, bytes under the toxic one) of a window has thresholds calibrated on other rows of the sample, as a
-log ratio of how often toxic and ordinary texts hold it. The largest of a text's ratios go into a logistic regression,
-fitted on a third part of the sample and weighted to the labels' real shares.
-
-SAMPLE bounds the rows used for fitting by class; scoring reads every whole text. Defined results: null text is empty
-and scores as a text with no window does; without labels of both classes every score is the share of toxic labels (0
-without labels); labels that repeat count once, as toxic if one of them says so, and null labels are left out; documents
-that repeat score alike, one row each; an empty table gives no rows; further columns are ignored.
+Two zstandard dictionaries are trained on windows of a bounded sample of labelled training rows: one on the windows of
+ordinary texts, one on those windows of toxic texts that hold a fragment far more common there, as the rest of a toxic
+text reads like any other. A window is a word of letters and digits, or a piece of a long one, pieces overlapping by
+half; its bytes are widened four times so that even a short match outweighs the fixed cost of a match. The triple
+(bytes, bytes under the ordinary dictionary, bytes under the toxic one) of a window has thresholds calibrated on other
+rows of the sample, as a log ratio of how often toxic and ordinary texts hold it. The ratios of all windows of a text
+go into a logistic regression, fitted on a third part of the sample and weighted to the labels' real shares.
+
+SAMPLE bounds the rows used for fitting by class; rows that repeat a doc_id with other texts may fill it up. Scoring
+reads every whole text. Defined results: null text is empty and scores as a text with no window does; without a labelled
+row of either class in each of the sample's three parts every score is the share of toxic labels (0 without labels);
+where samples are too few for the dictionary trainer their windows are the dictionary as they stand; labels that repeat
+count once, as toxic if one of them says so, and null labels are left out; documents that repeat score alike, one row
+each; an empty table gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,11 +32,13 @@ from .common import documents, filled, ship
 SAMPLE = (1500, 3000)
 FOLDS, HELD_OUT = 4, 2
 LIMIT = 0.3
-#: Bytes of a dictionary before widening, and how many times as common a fragment must be in toxic texts.
-DICTIONARY, RATIO = 8192, 20.0
+#: Bytes of a dictionary, of widened text; how many times as common a fragment must be in toxic texts; level of compression.
+DICTIONARY, RATIO, LEVEL = 32768, 20.0, 3
 GRAM = 5
 CACHE = 200_000
-_WORD = re.compile(r"[^\W\d_]+")
+#: Bytes of a window at most; a longer word is cut every PIECE / 2 bytes.
+PIECE = 16
+_WORD = re.compile(r"[^\W_]+")
 
 
 def fold(doc_id: Column) -> Column:
@@ -41,7 +46,11 @@ def fold(doc_id: Column) -> Column:
 
 
 def windows(text: str) -> list[bytes]:
-    return [w.encode() for w in _WORD.findall(text.lower())]
+    out = []
+    for word in _WORD.findall(text.lower()):
+        w = word.encode()
+        out += [w] if len(w) <= PIECE else [w[at : at + PIECE] for at in range(0, len(w) - PIECE // 2, PIECE // 2)]
+    return out
 
 
 def _grams(word: bytes) -> set[bytes]:
@@ -57,22 +66,32 @@ def _distinct(texts: list[list[bytes]]) -> list[set[bytes]]:
     return list(least.values())
 
 
+def dictionary(samples: list[bytes], size: int) -> tuple[bytes, bool]:
+    """A dictionary trained on samples, and whether it could be; else the samples themselves, the commonest last."""
+    import zstandard as z
+
+    try:
+        return z.train_dictionary(size, samples, d=8, k=64, level=LEVEL).as_bytes(), True
+    except z.ZstdError:
+        n = Counter(samples)
+        return b"".join(sorted(n, key=lambda w: (n[w], w)))[-size:], False
+
+
 class Distance:
-    """Compressed sizes of windows under two raw-content dictionaries."""
+    """Compressed sizes of windows under two dictionaries."""
 
-    def __init__(self, ordinary: bytes, toxic: bytes):
-        self.parts = (ordinary, toxic)
+    def __init__(self, ordinary: list[bytes], toxic: list[bytes]):
+        self.wide = [x.tobytes() for x in np.random.default_rng(5).integers(0, 256, (256, 4), dtype=np.uint8)]
+        self.parts = tuple(dictionary([self.widened(b" " + w + b" ") for w in ws], DICTIONARY) for ws in (ordinary, toxic))
         self.open()
 
     def open(self) -> None:
         import zstandard as z
 
-        rows = np.random.default_rng(5).integers(0, 256, (256, 4), dtype=np.uint8)
-        self.wide = [x.tobytes() for x in rows]
-        settings = z.ZstdCompressionParameters.from_level(3, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
+        settings = z.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False, min_match=3)
         self.shrink, self.seen = [], {}
-        for part in self.parts:
-            held = z.ZstdCompressionDict(self.widened(b" " + part + b" "), dict_type=z.DICT_TYPE_RAWCONTENT)
+        for part, trained in self.parts:
+            held = z.ZstdCompressionDict(part, dict_type=z.DICT_TYPE_FULLDICT if trained else z.DICT_TYPE_RAWCONTENT)
             held.precompute_compress(compression_params=settings)
             self.shrink.append(z.ZstdCompressor(dict_data=held, compression_params=settings).compress)
 
@@ -80,22 +99,23 @@ class Distance:
         return b"".join([self.wide[b] for b in x])
 
     def __getstate__(self):
-        return self.parts
+        return self.parts, self.wide
 
-    def __setstate__(self, parts):
-        self.parts = parts
+    def __setstate__(self, state):
+        self.parts, self.wide = state
         self.open()
 
-    def cells(self, words: list[bytes]) -> set[tuple[int, int, int]]:
+    def cells(self, words: list[bytes]) -> dict[tuple[int, int, int], int]:
+        """How many of the distinct windows have each triple."""
         if len(self.seen) > CACHE:
             self.seen.clear()
-        out, seen = set(), self.seen
+        out, seen = {}, self.seen
         for w in set(words):
             cell = seen.get(w)
             if cell is None:
                 x = self.widened(b" " + w + b" ")
-                cell = seen[w] = (min(len(w), 16), *(min(len(f(x)), 60) for f in self.shrink))
-            out.add(cell)
+                cell = seen[w] = (len(w), *(len(f(x)) for f in self.shrink))
+            out[cell] = out.get(cell, 0) + 1
         return out
 
 
@@ -103,10 +123,7 @@ def train_distance(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> Dis
     a, b = _distinct(toxic), _distinct(ordinary)
     in_a, in_b = (Counter(g for ws in docs for g in {g for w in ws for g in _grams(w)}) for docs in (a, b))
     good = {g for g, k in in_a.items() if k >= max(3, 0.005 * len(a)) and k / len(a) >= RATIO * (in_b[g] + 0.5) / (len(b) + 1)}
-    words_a, words_b = Counter(w for ws in a for w in ws if not good.isdisjoint(_grams(w))), Counter(w for ws in b for w in ws)
-    # The most frequent come last, nearest to the window.
-    kept = [b" ".join(sorted(c, key=lambda w: (c[w], w)))[-DICTIONARY:] for c in (words_b, words_a)]
-    return Distance(*kept)
+    return Distance([w for ws in b for w in sorted(ws)], [w for ws in a for w in sorted(ws) if not good.isdisjoint(_grams(w))])
 
 
 class Scorer:
@@ -114,9 +131,10 @@ class Scorer:
         self.prior, self.distance, self.ratios, self.weights = prior, None, {}, None
 
     def features(self, words: list[bytes]) -> list[float]:
-        q = sorted((self.ratios.get(c, 0.0) for c in self.distance.cells(words)), reverse=True)[:3]
-        q += [0.0] * (3 - len(q))
-        return [1.0, q[0], sum(q[:2]) / 2, sum(q) / 3, max(0.0, q[0] - 4.0), np.log1p(len(words))]
+        cells = self.distance.cells(words)
+        most = max((self.ratios.get(c, 0.0) for c in cells), default=0.0)
+        total = sum(max(0.0, self.ratios.get(c, 0.0)) * n for c, n in cells.items())
+        return [1.0, most, max(0.0, most - 4.0), np.log1p(total), total / (1 + len(words)), np.log1p(len(words))]
 
     def score(self, text: str) -> float:
         if self.weights is None:
@@ -124,7 +142,7 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(np.dot(self.features(windows(text)), self.weights), -30, 30))))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray, ridge: float = 1e-1, rounds: int = 50) -> np.ndarray:
     beta = np.zeros(x.shape[1])
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
@@ -141,7 +159,7 @@ def fit(toxic: list[str], ordinary: list[str], shares: tuple[int, int]) -> Score
     total = sum(shares)
     scorer = Scorer(shares[0] / total if total else 0.0)
     a, b = ([windows(t) for t in texts] for texts in (toxic, ordinary))
-    if len(a) < 6 or len(b) < 6:
+    if min(len(a), len(b)) < 4:  # no part may be empty
         return scorer
     (a1, a2, a3), (b1, b2, b3) = ((x[: len(x) // 2], x[len(x) // 2 : len(x) * 3 // 4], x[len(x) * 3 // 4 :]) for x in (a, b))
     scorer.distance = train_distance(a1, b1)
