@@ -1,17 +1,16 @@
 """License scan by an exact set-similarity join of text blocks with license templates.
 
-Blocks are lines and, for text that is wrapped, all runs of consecutive words of a document, across lines, as long as
-the template and a quarter (``reach``).
-
-A template is a set of words; a block meets it when it holds at least THRESHOLD of those words. The words of all
-templates are ordered by how many blocks of the corpus hold them, rarest first. To reach an overlap of t out of n, a
-block must hold one of the template's first n - t + 1 words (prefix), must have t words at least (length), and a
-block whose first shared word is at place p can share n - p at most (position). Blocks are joined with the prefix words,
-pairs that pass are verified on full sets. The templates are a small fixed table, so it is broadcast; blocks never are.
-Runs aren't listed: one that meets a template holds a prefix word, so only the words around prefix words are kept.
+A block is a run of consecutive words, whatever lines they stand on: as many as a template has, and a quarter more
+(``reach``); every run of every text is a block. A template is a set of words; a block meets it when it holds at least
+THRESHOLD of those words. The words of all templates are ordered by how many documents hold them, rarest first. To reach
+an overlap of t out of n, a block must hold one of the template's first n - t + 1 words (prefix), must have t words at
+least (length), and a block whose first shared word is at place p of n, and i of its own k template words, can share
+1 + min(n - p, k - i) - 1 at most (position). Texts are cut into pieces of PIECE words, each with the words that a block
+begun there may still hold, so that no text makes a large row; pieces are joined with the prefix words, filtered, and
+blocks around prefix words are verified on full sets. The templates are a small fixed table, so it is broadcast.
 
 Defined results: null or empty text has no words, null places, empty labels and score 0; documents that repeat are
-scanned alike, one row each; an empty table gives no rows; further columns are ignored.
+scanned alike, one row each; an empty table gives no rows; further columns, of any name, are ignored.
 """
 
 from __future__ import annotations
@@ -19,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents, filled, stored
+from .common import documents, filled, stored
 
 #: Characters that part words; ASCII other than digits and lower-case letters.
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 THRESHOLD = 0.8
+#: Words at which the blocks of a piece begin.
+PIECE = 512
 #: Phrase, label.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 #: Label, sentence that a text block is compared with. Of four words or fewer all are needed, so notices that differ in
@@ -54,35 +55,28 @@ TEMPLATES = (
 )
 
 
-def word_list(text: Column) -> Column:
-    return F.filter(F.split(ascii_lower(text), GAP), lambda w: w != "")
-
-
-def _spaces(text: Column) -> Column:
-    return F.length(text) - F.length(F.translate(text, " ", ""))
+def flat(text: Column) -> Column:
+    """The words of a text, each between single spaces. Case is folded by ``lower``, which is fast; of letters beyond
+    ASCII it makes no other word that counts here: all are word characters before and after."""
+    low = F.lower(filled(text))
+    return F.concat(F.lit(" "), F.trim(F.regexp_replace(low, GAP, " ")), F.lit(" "))
 
 
-def places(padded: Column, phrase: str) -> Column:
-    """Word numbers at which a phrase stands, from words padded and parted by single spaces."""
-    gaps, n = F.split(padded, f" {phrase}(?= )", -1), phrase.count(" ") + 1
-    start = F.struct(F.lit(0).alias("seen"), F.array().cast("array<bigint>").alias("out"))
+def words_of(padded: str) -> Column:
+    return F.split(F.substring(padded, 2, F.length(padded) - 2), " ")
 
-    def step(acc: Column, gap: Column) -> Column:
-        at = acc["seen"] + _spaces(gap)
-        return F.struct((at + n).alias("seen"), F.concat(acc["out"], F.array(at.cast("long"))).alias("out"))
 
-    found = F.aggregate(F.slice(gaps, 1, F.size(gaps) - 1), start, step, lambda acc: acc["out"])
-    return F.when(padded.contains(f" {phrase} "), found).otherwise(F.array().cast("array<bigint>"))
+def places(words: str, phrase: str) -> Column:
+    """Word numbers at which a phrase stands in an array column of words."""
+    parts = phrase.split()
 
+    def here(word: Column, i: Column) -> Column:
+        met = word == parts[0]
+        for k, part in enumerate(parts[1:], 1):
+            met = met & F.coalesce(F.get(words, i + k) == part, F.lit(False))
+        return F.when(met, i.cast("long"))
 
-def block_sets(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
-    """row and, of each line with ``least`` template words or more, those words and how many distinct words the line has."""
-    lines = docs.select("row", F.explode(F.split(filled(F.col("text")), "\n")).alias("line"))
-    pattern = "(?<![a-z0-9\\x{80}-\\x{10FFFF}])(?:" + "|".join(vocabulary) + ")(?![a-z0-9\\x{80}-\\x{10FFFF}])"
-    low = lines.select("row", ascii_lower(F.col("line")).alias("line")).filter(F.col("line").rlike(pattern))
-    sets = low.select("row", F.array_distinct(F.split("line", GAP)).alias("words"))
-    known = F.array(*map(F.lit, vocabulary))
-    return sets.select("row", F.array_intersect("words", known).alias("shared"), F.size(F.array_remove("words", "")).alias("n")).filter(F.size("shared") >= least)
+    return F.filter(F.transform(words, here), lambda x: x.isNotNull())
 
 
 def needed(size: int, threshold: float) -> int:
@@ -95,47 +89,52 @@ def reach(text: str) -> int:
     return n + max(2, n // 4)
 
 
-def ranked(blocks: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list, list]:
+def ranked(held: dict[str, int], templates=TEMPLATES, threshold: float = THRESHOLD) -> tuple[list, list]:
     """(template, label, words, least, reach), and (word, template, place, size, need) of the words of prefixes."""
-    held = {r["w"]: r["n"] for r in blocks.select(F.explode("shared").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most the vocabulary
     table, prefixes = [], []
     for i, (label, text) in enumerate(templates):
-        words = sorted({w for w in split_words(text)}, key=lambda w: (held.get(w, 0), w))
+        words = sorted(set(split_words(text)), key=lambda w: (held.get(w, 0), w))
         need = needed(len(words), threshold)
         table.append((i, label, words, need, reach(text)))
         prefixes += [(w, i, p, len(words), need) for p, w in enumerate(words[: len(words) - need + 1])]
     return table, prefixes
 
 
-def _frames(spark: SparkSession, table: list, prefixes: list) -> tuple[DataFrame, DataFrame]:
-    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, place int, size int, need int"))
-    return prefix, F.broadcast(spark.createDataFrame(table, "template int, label string, words array<string>, least int, reach int"))
-
+def pieces(texts: DataFrame, anchors: list[str], most: int) -> DataFrame:
+    """row, words of each piece of a text that holds an anchor; ``texts`` has row and padded."""
+    pattern = " (?:" + "|".join(anchors) + ") "
+    found = texts.filter(F.col("padded").rlike(pattern)).select("row", words_of("padded").alias("words"))
+    starts = F.sequence(F.lit(0), F.floor((F.size("words") - 1) / PIECE).cast("int"))
+    cut = found.select("row", F.explode(F.transform(starts, lambda k: F.slice("words", k * PIECE + 1, PIECE + most - 1))).alias("words"))
+    return cut.filter(F.arrays_overlap("words", F.array(*map(F.lit, anchors))))
 
-def containments(blocks: DataFrame, table: list, prefixes: list) -> DataFrame:
-    """row, label, share for each block and template with |block & template| >= threshold * |template|."""
-    prefix, full = _frames(blocks.sparkSession, table, prefixes)
-    probes = blocks.select("row", "shared", "n", F.explode("shared").alias("word"))
-    met = probes.join(prefix, "word").filter((F.col("n") >= F.col("need")) & (F.size("shared") >= F.col("need")) & (F.col("size") - F.col("place") >= F.col("need")))
-    both = met.join(full, "template").withColumn("overlap", F.size(F.array_intersect("shared", "words")))
-    return both.filter(F.col("overlap") >= F.col("least")).select("row", "label", (F.col("overlap") / F.size("words")).alias("share"))
 
-
-def surroundings(words: Column, anchors: list[str], most: int) -> Column:
-    """Each anchor among the words, with all words that a run of ``most`` words can hold beside it."""
-    at = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("i"), w.alias("word"))), lambda h: h["word"].isin(anchors))
-    near = F.transform(at, lambda h: F.struct(h["word"].alias("word"), F.slice(words, F.greatest(h["i"] - most + 2, F.lit(1)), F.lit(2 * most - 1)).alias("near")))
-    return F.when(F.arrays_overlap(words, F.array(*map(F.lit, anchors))), near)
-
-
-def run_containments(around: DataFrame, table: list, prefixes: list) -> DataFrame:
-    """row, label, share for each template and the run of words that shares most with it, if that is enough."""
-    prefix, full = _frames(around.sparkSession, table, prefixes)
-    met = around.select("row", F.explode("near").alias("h")).select("row", "h.word", "h.near").join(prefix.select("word", "template"), "word").join(full, "template")
-    able = met.filter(F.size(F.array_intersect("near", "words")) >= F.col("least"))
-    starts = F.sequence(F.lit(1), F.greatest(F.size("near") - F.col("reach") + 1, F.lit(1)))
-    best = F.array_max(F.transform(starts, lambda s: F.size(F.array_intersect(F.slice("near", s, F.col("reach")), F.col("words")))))
-    return able.withColumn("overlap", best).filter(F.col("overlap") >= F.col("least")).select("row", "label", (F.col("overlap") / F.size("words")).alias("share"))
+def containments(cut: DataFrame, order: list[str], table: list, prefixes: list) -> DataFrame:
+    """row, label, share of the block that shares most with a template, for each piece and template with enough of it."""
+    spark = cut.sparkSession
+    prefix = F.broadcast(spark.createDataFrame(prefixes, "word string, template int, place int, size int, need int"))
+    full = F.broadcast(spark.createDataFrame(table, "template int, label string, set array<string>, least int, reach int"))
+    shared = F.array_intersect(F.array(*map(F.lit, order)), "words")  # the piece's template words, rarest first
+    met = cut.select("row", "words", shared.alias("shared")).select("row", "words", "shared", F.posexplode("shared").alias("i", "word")).join(prefix, "word")
+    able = met.filter((F.size("words") >= F.col("need")) & (F.least(F.col("size") - F.col("place"), F.size("shared") - F.col("i")) >= F.col("need")))
+    # A pair of a piece and a template is verified for the first of its shared prefix words.
+    pairs = able.join(full, "template").filter((F.array_position("set", F.col("word")) == 1 + F.col("place")) & (F.size(F.array_intersect("shared", "set")) >= F.col("least")))
+    pairs = pairs.filter(F.element_at(F.array_intersect("shared", "set"), 1) == F.col("word"))
+    begun = pairs.select("row", "label", "words", "set", "least", "reach", F.explode(begins()).alias("begin"))
+    overlap = F.size(F.array_intersect(F.slice("words", F.col("begin"), F.col("reach")), F.col("set")))
+    return begun.filter(overlap >= F.col("least")).groupBy("row", "label").agg(F.max(overlap / F.size("set")).alias("share"))
+
+
+def begins() -> Column:
+    """Where blocks begin that hold one of the set's prefix words: from 1, in the row's words, set, least and reach.
+
+    Nothing in a lambda is computed from an array of the row but membership in the few prefix words, so the work is in
+    proportion to the words and the blocks even where the optimizer repeats or moves the expression.
+    """
+    anchors = F.slice("set", 1, F.size("set") - F.col("least") + 1)
+    at = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains(anchors, w), i + 1)), lambda i: i.isNotNull())
+    last = F.greatest(F.size("words") - F.col("reach") + 1, F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(F.greatest(i - F.col("reach") + 1, F.lit(1)), F.least(i, last)))))
 
 
 def split_words(text: str) -> list[str]:
@@ -145,33 +144,34 @@ def split_words(text: str) -> list[str]:
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and at, all places of base phrases."""
     vocabulary = sorted({w for _, text in templates for w in split_words(text)})
     row = F.struct(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("hash"))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), row.alias("row"))
-    least = min(needed(len(set(split_words(text))), threshold) for _, text in templates)
-    blocks = stored(block_sets(rows, vocabulary, least), "blocks")
-    table, prefixes = ranked(blocks, templates, threshold)
-    padded = F.concat(F.lit(" "), F.regexp_replace(ascii_lower(filled(F.col("text"))), GAP, " "), F.lit(" "))
-    flat = rows.select("doc_id", "row", F.regexp_replace(padded, " {2,}", " ").alias("padded"))
-    split = flat.select("doc_id", "row", "padded", F.split(F.trim("padded"), " ").alias("words"))
-    around = surroundings(F.col("words"), sorted({p[0] for p in prefixes}), max(t[-1] for t in table)).alias("near")
-    base = split.select("doc_id", "row", around, F.greatest(_spaces(F.col("padded")) - 1, F.lit(0)).cast("long").alias("n_words"), *(places(F.col("padded"), phrase).alias(f"p{i}") for i, (phrase, _) in enumerate(BASE)))
+    texts = docs.select(row.alias("row"), flat(F.col("text")).alias("padded"))
+    none = F.array().cast("array<long>")
+    known = F.array(*map(F.lit, vocabulary))
+    split = texts.select("row", "padded", words_of("padded").alias("words"))
+    n_words = F.when(F.length("padded") > 2, F.size("words")).otherwise(0).cast("long")
+    base = split.select("row", n_words.alias("n_words"), F.array_intersect(known, "words").alias("shared"), *(F.when(F.col("padded").contains(f" {phrase} "), places("words", phrase)).otherwise(none).alias(f"p{i}") for i, (phrase, _) in enumerate(BASE)))
     base = stored(base, "base")
-    met = containments(blocks, table, prefixes).unionByName(run_containments(base, table, prefixes))
-    added = met.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share"))
-    joined = base.drop("near").join(added, "row", "left")
+    held = {r["w"]: r["n"] for r in base.select(F.explode("shared").alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n")).collect()}  # the vocabulary at most
+    table, prefixes = ranked(held, templates, threshold)
+    cut = pieces(texts, sorted({p[0] for p in prefixes}), max(t[-1] for t in table))
+    met = containments(cut, sorted(vocabulary, key=lambda w: (held.get(w, 0), w)), table, prefixes)
+    added = stored(met.groupBy("row").agg(F.collect_set("label").alias("added"), F.max("share").alias("share")), "added")
+    joined = base.drop("shared").join(added, "row", "left")
     labels = F.filter(F.array(*(F.when(F.size(f"p{i}") > 0, F.lit(label)) for i, (_, label) in enumerate(BASE))), lambda x: x.isNotNull())
-    every = F.concat(*(f"p{i}" for i in range(len(BASE))))
-    out = joined.select("doc_id", "n_words", every.alias("at"), labels.alias("base"), F.coalesce("added", F.array().cast("array<string>")).alias("added"), F.coalesce("share", F.lit(0.0)).alias("share"))
+    every = F.sort_array(F.concat(*(f"p{i}" for i in range(len(BASE)))))
+    out = joined.select(F.col("row.id").alias("doc_id"), "n_words", every.alias("at"), labels.alias("base"), F.coalesce("added", F.array().cast("array<string>")).alias("added"), F.coalesce("share", F.lit(0.0)).alias("share"))
     return out.select(
         "doc_id", "n_words", F.size("at").cast("long").alias("n_base"), F.array_min("at").alias("first_word"), F.array_max("at").alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct("base")), ",").alias("base_labels"), F.array_join(F.array_sort(F.array_union("base", "added")), ",").alias("labels"),
-        F.when(F.size("base") > 0, 1.0).otherwise(F.col("share")).alias("score"),
+        F.when(F.size("base") > 0, 1.0).otherwise(F.col("share")).alias("score"), "at",
     )
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(documents(spark, sf_dir))
+    return scan(documents(spark, sf_dir)).drop("at")
 
 
 QUERIES, SQL = {"op6_license_scan": op6_license_scan}, {}
