@@ -11,7 +11,8 @@ log(documents) / log(FAN). Draws are hashes of ids and a seed, so reruns agree.
 
 Defined results: null text has size 0 and takes nothing; a null source is a source of its own, ordered last; rows that
 repeat doc_id, source and size share one decision, as one item of their joint mass; sources without words have target
-0; an empty table gives no rows; further columns are ignored by ``allot`` and passed through by ``repeated``.
+0; an empty table gives no rows; further columns, of any name, are ignored by ``allot`` and passed through by
+``repeated``.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, documents, filled, stored
+from .common import SPACE, attach, documents, packed_rows, stored
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -37,22 +38,35 @@ def words(text: Column) -> Column:
     return F.when(F.length(text) > 0, F.length(F.regexp_replace(F.regexp_replace(text, f"[^{SPACE}]+", "x"), f"[{SPACE}]+", ""))).otherwise(0).cast("long")
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with ``place``, the number of the source in code-point order, from 0: counted by ranges of sources."""
+    order = F.col("source").asc_nulls_last()
+    dealt = stored(sizes.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "ranges")
+    before, offsets = 0, []
+    for part, n in sorted((r["part"], r["n"]) for r in dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        offsets.append((part, before))
+        before += n
+    offsets = sizes.sparkSession.createDataFrame(offsets, "part int, before long")  # a row a partition
+    place = F.row_number().over(Window.partitionBy("part").orderBy(order)) - 1 + F.col("before")
+    return dealt.join(F.broadcast(offsets), "part").withColumn("place", place).drop("part", "before")
+
+
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_COPIES) -> DataFrame:
-    """source, source_size, target from (source, source_size): one row per source, weights dealt in code-point order.
+    """``sizes`` (source, source_size and more, a row a source) with target; weights dealt in code-point order.
 
-    The excess of capped sources goes to the others by weight, which is a water level: sources ordered by the level at
-    which they are capped, the level is the first at which the rest can take what is left.
+    The excess of capped sources goes to the others by weight, which is a water level: it rises round by round, as
+    sources that it covers are capped, until a round caps no other. All sums are of whole numbers, so reruns agree.
     """
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), ((F.row_number().over(order) - 1) % len(weights) + 1).cast("int"))
-    one = sizes.withColumn("weight", weight).withColumn("cap", F.col("source_size") * most)
-    by = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before, rest = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole = Window.partitionBy()
-    level = (F.sum("source_size").over(whole) * share - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(rest)
-    leveled = one.withColumn("level", level).withColumn("free", F.col("level") * F.col("weight") <= F.col("cap"))
-    final = leveled.withColumn("water", F.max(F.when(F.col("free"), F.col("level"))).over(whole))
-    return final.select("source", "source_size", F.least(F.col("cap").cast("double"), F.coalesce(F.col("water") * F.col("weight"), F.col("cap").cast("double"))).alias("target"))
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
+    one = stored(ranked(sizes).withColumn("weight", weight).withColumn("cap", F.col("source_size") * float(most)), "weighted")
+    whole, level, capped = share * (one.agg(F.sum("source_size")).first()[0] or 0), 0.0, -1
+    while True:
+        low = F.col("cap") < level * F.col("weight")
+        r = one.agg(F.count_if(low).alias("n"), F.sum(F.when(low, F.col("cap")).otherwise(0.0)).alias("cap"), F.sum(F.when(low, 0.0).otherwise(F.col("weight"))).alias("weight")).first()
+        if r["n"] == capped:
+            break
+        capped, level = r["n"], (whole - r["cap"]) / r["weight"] if r["weight"] else float("inf")
+    return one.withColumn("target", F.least("cap", F.lit(level) * F.col("weight"))).drop("place", "weight", "cap")
 
 
 def _draw(seed: int, a: Column, b: Column) -> Column:
@@ -88,10 +102,10 @@ def _fold(items: Column, seed: int) -> Column:
 def allot(docs: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
     """doc_id, source, size, source_size, target, copies, taken of every row."""
     sized = stored(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size")), "sizes")
-    totals = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
-    goal = stored(targets(totals.select("source", "source_size")).withColumn("sid", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull())), "targets")
-    # Few rows a source: joined by broadcast only while Spark finds the table small, else by a shuffle it may split.
-    rated = sized.join(goal, sized["source"].eqNullSafe(goal["source"])).select("doc_id", sized["source"], "size", "source_size", "target", "sid", (F.col("target") / F.col("source_size")).alias("rate"))
+    sized = sized.withColumn("sid", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
+    totals = sized.groupBy("source", "sid").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    goal = stored(targets(totals), "targets")
+    rated = attach(sized, goal.drop("source"), "sid", "n_rows").withColumn("rate", F.col("target") / F.col("source_size")).drop("n_rows")
     rated = rated.withColumn("sure", F.when(F.col("size") > 0, F.floor(F.col("rate") + 1e-12)).otherwise(0)).withColumn("part", F.when(F.col("size") > 0, F.greatest(F.col("rate") - F.col("sure"), F.lit(0.0))).otherwise(0.0))
     grouped = rated.filter("part > 1e-9").groupBy("sid", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"), F.first("part").alias("part"), F.first("source_size").alias("source_size"))
     grouped = stored(grouped.withColumn("w", (F.col("size") * F.col("n")).cast("double")).withColumn("big", F.col("w") * BIG > F.col("source_size")), "items")
@@ -110,7 +124,7 @@ def allot(docs: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
     items = items.withColumn("key", F.xxhash64(F.lit(seed), "item.id", "item.size"))
     sure = small.filter("part >= 1 - 1e-9").select("sid", F.col("doc_id").alias("id"), "size", F.lit(True).alias("full"))
     finished = [sure, over.select("sid", "id", "size", "full"), big.select("sid", F.explode("r.done").alias("d")).select("sid", "d.*")]
-    most = max((r[0] for r in totals.select(F.max("n_rows")).collect()), default=0) or 0
+    most = goal.agg(F.max("n_rows")).first()[0] or 0
     blocks, level = max(1, -(-most // fan)), 0
     while True:
         # A block is a slice of the hash: the next level's blocks are unions of this level's.
@@ -136,10 +150,10 @@ def allot(docs: DataFrame, seed: int = 7, fan: int = FAN) -> DataFrame:
 
 def repeated(docs: DataFrame, seed: int = 7) -> DataFrame:
     """The mix itself: each row of ``docs`` as often as allotted, none, once or more, with all its columns."""
-    plan = allot(docs, seed).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size")).agg(F.max("copies").alias("_copies")).filter("_copies > 0")
-    keyed = docs.withColumn("_words", words(F.col("text")))
-    match = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
-    return keyed.join(plan, match).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan = allot(docs, seed).groupBy("doc_id", "source", "size").agg(F.max("copies").alias("copies")).filter("copies > 0")
+    rows = packed_rows(docs).select("row", words(F.col("row.text")).alias("n"))
+    match = F.col("row.doc_id").cast("long").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source")) & (F.col("n") == F.col("size"))
+    return rows.join(plan, match).select("row", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")
 
 
 def op5_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

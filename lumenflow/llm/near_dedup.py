@@ -13,11 +13,11 @@
    is written. Each pair is met in the first band that both share.
 
 A link is missed if no band of the two signatures agrees, or if they agree on less than HOPELESS of their slots. At
-similarity 0.85, with 20 bands of 5 and independent slots, that is 8e-6 and 5e-6.
+similarity 0.85, with 20 bands of 5 and independent slots, that is 8e-6 and 5e-10.
 
 Defined results: null text counts as empty; texts without words have no shingles, no links and stay, each by itself; a
 text of fewer than five words has one shingle, all of it; rows that repeat doc_id are in one component if their sets
-are linked; a null doc_id is larger than any other; an empty table gives no rows; further columns are ignored by
+are linked, and with other texts each has its own; a null doc_id is larger than any other; an empty table gives no rows; further columns, of any name, are ignored by
 ``components`` and passed through by ``one_of_each``.
 """
 
@@ -26,18 +26,18 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import attach, documents, filled, ship, stored
+from .common import attach, documents, filled, packed_rows, ship, stored
 
 SHINGLE = 5
 SLOTS, BANDS = 100, 20
 #: Link two sets when PERCENT * union <= 100 * intersection.
 PERCENT = 85
-#: Pairs whose signatures agree on a smaller part of the slots aren't verified. Of pairs at the threshold
-#: 5e-6 fall below it, counting slots as independent, which is the worst case.
-HOPELESS = 0.68
+#: Pairs whose signatures agree on a smaller part of the slots aren't verified. Of pairs at the threshold 5e-10 fall
+#: below it, counting slots as independent, which is the worst case: far fewer than share no band.
+HOPELESS = 0.6
 PORTION = 64
 #: Shingles in a chunk of members; a member counts LEAST at least.
 VOLUME, LEAST = 250_000, 250
@@ -130,10 +130,13 @@ def band_keys(rank: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return h.astype(np.int64)
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    return F.xxhash64(doc_id.cast("long"), filled(text)).alias("key")
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, and a key that finds the row again: its doc_id, or a hash of its text if it has none."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"))
-    return rows.withColumn("key", F.coalesce("doc_id", F.xxhash64("text")))
+    """doc_id, text, and a key that finds the row again, also where a doc_id stands for several texts."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), filled(F.col("text")).alias("text"), row_key(F.col("doc_id"), F.col("text")))
 
 
 def signed(docs: DataFrame) -> DataFrame:
@@ -183,12 +186,14 @@ def signed(docs: DataFrame) -> DataFrame:
 
 
 def hopeful(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (node, center) whose sizes and signatures allow a link."""
-    a = nodes.select("node", F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    """The pairs (node, center) whose sizes and signatures allow a link; centers of many pairs are broadcast."""
+    pairs = stored(pairs, "near")
     b = nodes.select(F.col("node").alias("center"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    centers = stored(pairs.groupBy("center").agg(F.count(F.lit(1)).alias("n")).join(b, "center"), "centers")
+    a = nodes.select("node", F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
     agree = F.aggregate(F.sequence(F.lit(1), F.lit(SLOTS)), F.lit(0), lambda n, i: n + F.when(F.substring("sig_a", i, F.lit(1)) == F.substring("sig_b", i, F.lit(1)), 1).otherwise(0))
     fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * PERCENT
-    return pairs.join(a, "node").join(b, "center").filter(fits & (agree >= HOPELESS * SLOTS)).select("node", "center")
+    return attach(pairs, centers, "center", "n").join(a, "node").filter(fits & (agree >= HOPELESS * SLOTS)).select("node", "center")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
@@ -334,6 +339,11 @@ def leftovers(members: DataFrame, nodes: DataFrame, label: DataFrame, docs: Data
 
 def components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row."""
+    return grouped(docs).drop("key")
+
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """``components`` with the rows' keys."""
     ship(docs.sparkSession)
     seen = stored(signed(docs), "signed")
     some = seen.filter("node IS NOT NULL")
@@ -349,15 +359,16 @@ def components(docs: DataFrame) -> DataFrame:
     named = stored(nodes.select("node", "rep", "n_rows").join(label, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     least = stored(named.groupBy("label").agg(F.min("rep").alias("component_id"), F.count(F.lit(1)).alias("n")), "least")
     answer = stored(attach(named.select("node", "n_rows", "label"), least, "label", "n").select("node", "n_rows", "component_id"), "classes")
-    linked = attach(some.select("doc_id", "n_shingles", "node"), answer, "node", "n_rows").select("doc_id", "n_shingles", "component_id")
-    alone = seen.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    linked = attach(some.select("doc_id", "n_shingles", "node", "key"), answer, "node", "n_rows").select("doc_id", "n_shingles", "component_id", "key")
+    alone = seen.filter("node IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), "key")
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = components(docs).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_keep")), "left_semi")
+    kept = stored(grouped(docs).filter("kept").select("key").distinct(), "kept")
+    rows = packed_rows(docs).select("row", row_key(F.col("row.doc_id"), F.col("row.text")))
+    return rows.join(kept, "key", "left_semi").select("row.*")
 
 
 def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
