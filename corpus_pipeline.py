@@ -1,11 +1,16 @@
-"""Corpus preparation from raw documents to packed training sequences, one table per stage."""
+"""Corpus preparation from raw documents to packed training sequences, one table per stage.
+
+Defined results: null text counts as empty, fails the quality rules and goes; null languages and sources are a language
+and a source of their own; rows that repeat are one document from exact dedup on; an empty table passes all stages and
+gives no rows; further columns, of any name, are carried to the last stage, which returns pieces of documents instead.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from lumenflow.llm import exact_dedup, mixing, near_dedup, packing, quality
-from lumenflow.llm.common import documents, scratch, stored
+from lumenflow.llm.common import documents, scratch, workspace
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +18,10 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return exact_dedup.drop_copies(docs, exact_dedup.DigestIndex(spark, scratch(spark, "index")))
+    index = exact_dedup.DigestIndex(spark, scratch(spark, "index"), docs.count())
+    kept = exact_dedup.drop_copies(docs, index)
+    index.close()
+    return kept
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the last stage returns. What a stage writes for itself is deleted when its result is written."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        path = scratch(spark, name.replace(" ", "-"))
+        with workspace(spark):
+            made = stage(spark, docs, sf_dir)
+            made.write.parquet(path)
+        docs = spark.read.schema(made.schema).parquet(path)
     return docs
