@@ -6,14 +6,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Method names that make a method an entry point, by priority.
-INTERACTION = "onClick onTouch onDragStart onDragEnter onDragMove onDragLeave onDrop onDragEnd onKeyEvent onFocusAxisEvent onChange onSubmit onSelect onCheckedChange".split()
-MORE_INTERACTION = "onTextSelectionChange onScrollEdge onScrollFrameBegin onReachStart onReachEnd".split()
-COMPONENT = "build aboutToAppear aboutToDisappear aboutToReuse aboutToRecycle onWillApplyTheme onLayout onPlaceChildren onMeasure onMeasureSize onPageShow onPageHide onFormRecycle onFormRecover onBackPress pageTransition onDidBuild".split()
-ABILITY = "onCreate onDestroy onWindowStageCreate onWindowStageDestroy onForeground onBackground onBackup onRestore onContinue onNewWant onDump onSaveState onShare onPrepareToTerminate onBackPressed onSessionCreate onSessionDestory onAddForm onCastToNormalForm onUpdateForm onChangeFormVisibility onFormEvent onRemoveForm onConfigurationUpdate onAcquireFormState onWindowStageWillDestroy".split()
-SERVICE = "onConnect onDisconnect onRequest".split()
-INITIAL = "_DEFAULT_ARK_METHOD constructor".split()
-DEFAULT = "%dflt [static]%dflt initialRender".split()
-LIFECYCLE_CALLEES = ["aboutToAppear", "build", "onCreate", "onForeground"]
+INTERACTION = ("onClick", "onTouch", "onDragStart", "onDragEnter", "onDragMove", "onDragLeave", "onDrop", "onDragEnd", "onKeyEvent", "onFocusAxisEvent", "onChange", "onSubmit", "onSelect", "onCheckedChange")
+MORE_INTERACTION = ("onTextSelectionChange", "onScrollEdge", "onScrollFrameBegin", "onReachStart", "onReachEnd")
+COMPONENT = ("build", "aboutToAppear", "aboutToDisappear", "aboutToReuse", "aboutToRecycle", "onWillApplyTheme", "onLayout", "onPlaceChildren", "onMeasure", "onMeasureSize", "onPageShow", "onPageHide", "onFormRecycle", "onFormRecover", "onBackPress", "pageTransition", "onDidBuild")
+ABILITY = ("onCreate", "onDestroy", "onWindowStageCreate", "onWindowStageDestroy", "onForeground", "onBackground", "onBackup", "onRestore", "onContinue", "onNewWant", "onDump", "onSaveState", "onShare", "onPrepareToTerminate", "onBackPressed", "onSessionCreate", "onSessionDestory", "onAddForm", "onCastToNormalForm", "onUpdateForm", "onChangeFormVisibility", "onFormEvent", "onRemoveForm", "onConfigurationUpdate", "onAcquireFormState", "onWindowStageWillDestroy")
+SERVICE = ("onConnect", "onDisconnect", "onRequest")
+INITIAL = ("_DEFAULT_ARK_METHOD", "constructor")
+DEFAULT = ("%dflt", "[static]%dflt", "initialRender")
+#: Callees that the framework calls.
+LIFECYCLE_CALLEES = ("aboutToAppear", "build", "onCreate", "onForeground")
 #: Method names without meaning of their own.
 NON_SEMANTIC = r"^build$|^aboutToAppear$|^aboutToDisappear$|^onPageShow$|^onPageHide$|^onBackPress$|^initialRender$|^func_main_0$|^%dflt$|^%AM\d+\$|^_?static_?%?|^__init__$|^constructor$"
 #: Words of a condition that guards a call.
@@ -52,15 +53,15 @@ def readable(display: Column) -> Column:
 
 
 def call_type(callee: Column) -> Column:
-    return F.when(callee.contains("%AM"), "callback").when(callee.isin(LIFECYCLE_CALLEES), "lifecycle_implicit").otherwise("direct")
+    return F.when(callee.contains("%AM"), "callback").when(callee.isin(*LIFECYCLE_CALLEES), "lifecycle_implicit").otherwise("direct")
 
 
 def is_entry(name: Column) -> Column:
-    return name.isin(INTERACTION + MORE_INTERACTION + COMPONENT + ABILITY + SERVICE + INITIAL + DEFAULT)
+    return name.isin(*INTERACTION, *MORE_INTERACTION, *COMPONENT, *ABILITY, *SERVICE, *INITIAL, *DEFAULT)
 
 
 def entry_priority(name: Column) -> Column:
-    return F.when(name.isin(INTERACTION), 1).when(name.isin(COMPONENT), 2).when(name.isin(ABILITY), 3).when(name.isin(INITIAL), 4).otherwise(99)
+    return F.when(name.isin(*INTERACTION), 1).when(name.isin(*COMPONENT), 2).when(name.isin(*ABILITY), 3).when(name.isin(*INITIAL), 4).otherwise(99)
 
 
 def entry_type(name: Column) -> Column:

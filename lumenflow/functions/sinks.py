@@ -6,11 +6,17 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Kind, names that must occur, methods that must be called; earlier entries win.
-NETWORK = ("http rcp webSocket socket request HttpRequest Session WebSocket TCPSocket UDPSocket TLSSocket".split(), "request requestInStream fetch send uploadFile".split())
+NETWORK = (
+    ("http", "rcp", "webSocket", "socket", "request", "HttpRequest", "Session", "WebSocket", "TCPSocket", "UDPSocket", "TLSSocket"),
+    ("request", "requestInStream", "fetch", "send", "uploadFile"),
+)
 SESSION = ("get", "post", "put", "delete")
-STORAGE = ("preferences Preferences rdb RdbStore fs relationalStore dataPreferences".split(), "put putSync insert update write writeSync flushSync".split())
-DISPLAY = ("Text TextInput TextArea RichText Image List Column Row Flex".split(), "create setText setValue".split())
-LOG = ("console hilog Logger".split(), "log info warn error debug".split())
+STORAGE = (
+    ("preferences", "Preferences", "rdb", "RdbStore", "fs", "relationalStore", "dataPreferences"),
+    ("put", "putSync", "insert", "update", "write", "writeSync", "flushSync"),
+)
+DISPLAY = (("Text", "TextInput", "TextArea", "RichText", "Image", "List", "Column", "Row", "Flex"), ("create", "setText", "setValue"))
+LOG = (("console", "hilog", "Logger"), ("log", "info", "warn", "error", "debug"))
 
 
 def rules() -> list[tuple[str, str, str, str]]:
@@ -26,14 +32,16 @@ def rules() -> list[tuple[str, str, str, str]]:
 
 
 def classify(text: Column) -> Column:
-    """struct(kind, api) of the first rule that holds, else null. Texts without any call skip the rules."""
-    every = sorted({call for _, _, call, _ in rules()})
-    found = F.lit(None).cast("struct<kind:string,api:string>")
-    table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(n).alias("name"), F.lit(c).alias("call"), F.lit(a).alias("api")) for k, n, c, a in rules()))
-    first = F.element_at(F.filter(table, lambda r: F.contains(text, r["call"]) & F.contains(text, r["name"])), 1)
-    called = text.rlike("|".join(f"\\{c[:-1]}\\(" for c in every))
-    hit = F.filter(table, lambda r: F.contains(text, r["call"]) & F.contains(text, r["name"]))
-    return F.when(called & (F.size(hit) > 0), F.struct(first["kind"].alias("kind"), first["api"].alias("api"))).otherwise(found)
+    """struct(kind, api) of the first rule that holds, else null: the rules' CASE, tried where the text has any call."""
+    calls = list(dict.fromkeys(call for _, _, call, _ in rules()))
+    called = F.lit(False)
+    for call in calls:
+        called = called | F.contains(text, F.lit(call))
+    number = F.when(F.lit(False), -1)
+    for k, (_, name, call, _) in enumerate(rules(), 1):
+        number = number.when(F.contains(text, F.lit(call)) & F.contains(text, F.lit(name)), k)
+    table = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("api")) for k, _, _, a in rules()))
+    return F.get(table, F.when(called, number) - 1)
 
 
 def case_sql(text: str, column: int) -> str:

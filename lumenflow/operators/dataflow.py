@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,18 +28,18 @@ def block_summaries(statements: DataFrame, size: int = 4) -> tuple[DataFrame, Da
     return gen, gen.select("method", "block", "var")
 
 
-def reaching(gen: DataFrame, kill: DataFrame, edges: DataFrame, rounds: int = 500) -> DataFrame:
+def reaching(gen: DataFrame, kill: DataFrame, edges: DataFrame) -> DataFrame:
     """method, block, var, def_idx that hold where a block begins: semi-naive rounds over (fact, block).
 
     A fact enters the successors of its block, and goes on from a block that doesn't define its variable. Each round
-    extends only what the last one found.
+    extends only what the last one found, until a round finds nothing.
     """
     edges = stored(edges.select("method", "src", "dst").distinct(), "cfg")
     kill = stored(kill.distinct(), "kill")
     step = lambda out: out.join(edges, (out["method"] == edges["method"]) & (out["block"] == edges["src"])).select(out["method"], F.col("dst").alias("block"), "var", "def_idx").distinct()
     fresh = stored(step(gen), "in0")
     known = fresh
-    for k in range(1, rounds):
+    for k in count(1):
         fresh = stored(step(fresh.join(kill, ["method", "block", "var"], "left_anti")).join(known, ["method", "block", "var", "def_idx"], "left_anti"), f"in{k}")
         if fresh.limit(1).count() == 0:
             break
@@ -56,7 +58,7 @@ def straight_taint(statements: DataFrame) -> DataFrame:
     return writes.unionByName(sinks).withColumn("last", last).filter("w IS NULL AND last.w = 'source'").select("method", "var", F.col("last.idx").alias("source_idx"), F.col("idx").alias("sink_idx"))
 
 
-def taint(statements: DataFrame, rounds: int = 64) -> DataFrame:
+def taint(statements: DataFrame) -> DataFrame:
     """method, var, idx: variables that are tainted behind statement idx, with copies, as a fixpoint over versions.
 
     Every write makes a version of its variable. A source's version is tainted, a copy's version is if the version of
@@ -68,7 +70,7 @@ def taint(statements: DataFrame, rounds: int = 64) -> DataFrame:
     base = writes.filter("kind <> 'copy'").select("method", "idx", F.col("idx").alias("root"))
     copies = writes.filter("kind = 'copy'").join(reads, ["method", "idx"]).select("method", "idx", F.col("def_idx").alias("root"))
     up = stored(base.unionByName(copies), "versions")
-    for k in range(rounds):
+    for k in count():
         nxt = up.join(up.select("method", F.col("idx").alias("root"), F.col("root").alias("far")), ["method", "root"]).select("method", "idx", F.col("far").alias("root"), (F.col("far") != F.col("root")).alias("moved"))
         nxt = stored(nxt, f"jump{k}")
         up = nxt.select("method", "idx", "root")
@@ -85,25 +87,27 @@ def tainted_sinks(statements: DataFrame) -> DataFrame:
     return uses.join(marked, ["method", "var", "def_idx"]).select("method", "var", "source_idx", F.col("use_idx").alias("sink_idx"))
 
 
-def points_to(allocs: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame, rounds: int = 64) -> DataFrame:
+def points_to(allocs: DataFrame, copies: DataFrame, loads: DataFrame, stores: DataFrame) -> DataFrame:
     """node, obj: inclusion-based points-to sets.
 
     allocs (node, obj); copies (src, dst); loads (base, field, dst); stores (base, field, src). A field of an object is
-    a node of its own, named obj.field; loads and stores add copy edges as base sets grow. Semi-naive.
+    a node of its own, named obj.field; loads and stores add copy edges as base sets grow. Semi-naive, until a
+    round finds nothing.
     """
     edges = stored(copies.select("src", "dst").distinct(), "copies")
     known = stored(allocs.select("node", "obj").distinct(), "pts")
     fresh, field = known, F.concat(F.col("obj"), F.lit("."), F.col("field"))
-    for k in range(rounds):
+    for k in count():
         at = fresh.withColumnRenamed("node", "base")
         added = at.join(loads, "base").select(field.alias("src"), "dst").unionByName(at.join(stores, "base").select("src", field.alias("dst"))).distinct()
         added = stored(added.join(edges, ["src", "dst"], "left_anti"), f"added{k}")
         flows = fresh.join(edges, fresh["node"] == edges["src"]).select(F.col("dst").alias("node"), "obj").unionByName(known.join(added, known["node"] == added["src"]).select(F.col("dst").alias("node"), "obj"))
         fresh = stored(flows.distinct().join(known, ["node", "obj"], "left_anti"), f"fresh{k}")
         if fresh.limit(1).count() == 0 and added.limit(1).count() == 0:
-            break
-        known, edges = stored(known.unionByName(fresh), f"pts{k}"), stored(edges.unionByName(added), f"edges{k}")
-    return known
+            return known
+        known, edges = known.unionByName(fresh), edges.unionByName(added)
+        if k % 8 == 7:  # a union of few tables is read, not of one a round
+            known, edges = stored(known, f"pts{k}"), stored(edges, f"edges{k}")
 
 
 def may_alias(points: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.names import call_type, method_name
 from ..sources.store import stored
 
 
@@ -22,28 +23,71 @@ def reach(edges: DataFrame, starts: DataFrame, levels: int = 15) -> DataFrame:
     return seen
 
 
-def nearest(edges: DataFrame, starts: DataFrame, entries: DataFrame, levels: int = 15) -> DataFrame:
+def nearest(edges: DataFrame, starts: DataFrame, entries: DataFrame, levels: int = 15, strict: bool = False) -> DataFrame:
     """start, entry, depth, path: for each start (node) the entry (node) fewest edges away, backwards along (src, dst).
 
-    Of several entries at that depth, and of several ways, the first in string order wins. A start that is an entry
-    is its own, at depth 0. Starts leave the search once they have met an entry.
+    One search from all entries forward along the edges, a row a node: its depth, the first entry at that depth in string
+    order and, of the callers that lead to it, the first. Paths are read off the callers, level by level, for starts
+    only. A start that is an entry is its own, at depth 0; with ``strict`` a start never counts as its own entry.
     """
     edges = stored(edges.select("src", "dst").distinct(), "edges")
-    entries = entries.select("node").distinct().withColumn("is_entry", F.lit(True))
-    seen = stored(starts.select(F.col("node").alias("start"), "node", F.array("node").alias("path")).distinct().join(entries, "node", "left"), "near0")
-    frontier, done = seen.filter("is_entry IS NULL"), seen.filter("is_entry").select("start", F.col("node").alias("entry"), F.lit(0).alias("depth"), "path")
-    visited = seen.select("start", "node")
+    starts, entries = stored(starts.select("node").distinct(), "starts"), stored(entries.select("node").distinct(), "entries")
+    seen = entries.select("node", F.lit(0).alias("depth"), F.col("node").alias("entry"), F.lit(None).cast("string").alias("caller"))
+    frontier = seen
     for depth in range(1, levels + 1):
-        step = frontier.join(edges, frontier["node"] == edges["dst"]).select("start", F.col("src").alias("node"), "path")
-        fresh = step.join(visited, ["start", "node"], "left_anti").groupBy("start", "node").agg(F.min("path").alias("path")).withColumn("path", F.concat("path", F.array("node")))
-        level = stored(fresh.join(entries, "node", "left"), f"near{depth}")
-        hits = stored(level.filter("is_entry").groupBy("start").agg(F.min(F.struct("node", "path")).alias("m")).select("start", F.col("m.node").alias("entry"), F.lit(depth).alias("depth"), F.col("m.path").alias("path")), f"hits{depth}")
-        done = done.unionByName(hits)
-        frontier = stored(level.join(hits, "start", "left_anti").select("start", "node", "path", "is_entry"), f"front{depth}")
+        step = frontier.select(F.col("node").alias("src"), "entry").join(edges, "src")
+        first = step.groupBy(F.col("dst").alias("node")).agg(F.min(F.struct("entry", F.col("src").alias("caller"))).alias("m"))
+        fresh = first.join(seen, "node", "left_anti").select("node", F.lit(depth).alias("depth"), "m.entry", "m.caller")
+        frontier = stored(fresh, f"near{depth}")
         if frontier.limit(1).count() == 0:
             break
-        visited = visited.unionByName(frontier.select("start", "node"))
-    return done
+        seen = seen.unionByName(frontier)
+    found = stored(seen, "near")
+    if strict:  # a start that is an entry takes the best of its callers
+        own = starts.join(entries, "node", "left_semi").withColumnRenamed("node", "dst").join(edges, "dst").select("dst", F.col("src").alias("node"))
+        best = own.join(found.filter(F.col("depth") < levels), "node").groupBy(F.col("dst").alias("start")).agg(F.min(F.struct("depth", "entry", F.col("node").alias("caller"))).alias("m"))
+        again = best.select("start", "m.entry", (F.col("m.depth") + 1).alias("depth"), "m.caller")
+        plain = starts.join(entries, "node", "left_anti").join(found, "node").select(F.col("node").alias("start"), "entry", "depth", "caller")
+        reached = plain.unionByName(again)
+    else:
+        reached = starts.join(found, "node").select(F.col("node").alias("start"), "entry", "depth", "caller")
+    paths = stored(reached.select("start", "entry", "depth", F.array("start").alias("path"), "caller"), "paths")
+    done = paths.filter("caller IS NULL")
+    up = found.select(F.col("node").alias("caller"), F.col("caller").alias("next"))
+    for depth in range(levels):
+        paths = stored(paths.filter("caller IS NOT NULL").join(up, "caller").select("start", "entry", "depth", F.concat("path", F.array("caller")).alias("path"), F.col("next").alias("caller")), f"path{depth}")
+        if paths.limit(1).count() == 0:
+            break
+        done = done.unionByName(paths.filter("caller IS NULL"))
+    return done.drop("caller")
+
+
+def links(paths: DataFrame) -> DataFrame:
+    """start, place, caller, callee, call_type: the calls of each path of ``nearest``, from the entry down."""
+    down = F.reverse("path")
+    pairs = F.transform(F.sequence(F.lit(1), F.size("path") - 1), lambda i: F.struct(F.element_at(down, i).alias("caller"), F.element_at(down, i + 1).alias("callee")))
+    each = paths.filter(F.size("path") > 1).select("start", F.posexplode(pairs).alias("place", "p"))
+    return each.select("start", "place", "p.caller", "p.callee", call_type(method_name(F.col("p.callee"))).alias("call_type"))
+
+
+def paths_down(edges: DataFrame, pairs: DataFrame, levels: int = 10) -> DataFrame:
+    """top, target, path: a shortest way along the edges from top to target, the first in string order; [] if there is
+    none within ``levels`` or both are one. Only nodes from which the target can be reached are followed."""
+    pairs = stored(pairs.select("top", "target").distinct(), "pairs")
+    up = stored(ancestors(edges, pairs.select(F.col("target").alias("node")).distinct(), levels).select(F.col("start").alias("target"), "node", F.col("depth").alias("left")), "up")
+    now = pairs.withColumnRenamed("top", "node").join(up, ["target", "node"]).filter("left > 0")
+    now = stored(now.select("target", F.col("node").alias("top"), "node", "left", F.array("node").alias("path")), "down")
+    edges, done = stored(edges.select("src", "dst").distinct(), "edges"), None
+    for depth in range(levels):
+        step = now.join(edges, now["node"] == edges["src"]).select("target", "top", "path", "left", F.col("dst").alias("node"))
+        nearer = step.join(up.select("target", "node", F.col("left").alias("then")), ["target", "node"]).filter("then = left - 1")
+        now = stored(nearer.groupBy("target", "top").agg(F.min(F.concat("path", F.array("node"))).alias("path"), F.min("then").alias("left")).withColumn("node", F.element_at("path", -1)), f"down{depth}")
+        met = now.filter("left = 0").select("top", "target", "path")
+        done = met if done is None else done.unionByName(met)
+        now = now.filter("left > 0")
+        if now.limit(1).count() == 0:
+            break
+    return pairs.join(done, ["top", "target"], "left").withColumn("path", F.coalesce("path", F.array().cast("array<string>")))
 
 
 def ancestors(edges: DataFrame, starts: DataFrame, levels: int = 10) -> DataFrame:
@@ -75,16 +119,56 @@ def sharing(edges: DataFrame, nodes: DataFrame, levels: int = 10) -> DataFrame:
     return up.select("node", F.col("start").alias("a")).join(up.select("node", F.col("start").alias("b")), "node").filter("a < b").select("a", "b").distinct()
 
 
-def closure(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """All (src, dst) joined by a path of one edge or more, by doubling: log(longest path) rounds."""
+def closure(edges: DataFrame) -> DataFrame:
+    """All (src, dst) joined by a path of one edge or more, by doubling: log(longest path) rounds, until none is new."""
     known = stored(edges.select("src", "dst").distinct(), "closure")
-    for _ in range(rounds):
+    while True:
         longer = known.select("src", F.col("dst").alias("mid")).join(known.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst").distinct()
         new = stored(longer.join(known, ["src", "dst"], "left_anti"), "closure")
         if new.limit(1).count() == 0:
-            break
+            return known
         known = stored(known.unionByName(new), "closure")
-    return known
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """node, root, in_cycle: strongly connected components, named by their greatest node.
+
+    Colours: every node takes the greatest node that reaches it; those that reach the colour's own node within the
+    colour are its component. What has a component leaves, and the rest is coloured anew, until nothing is left.
+    """
+    pairs = stored(edges.select("src", "dst").distinct(), "edges")
+    left = stored(pairs.select(F.explode(F.array("src", "dst")).alias("node")).distinct(), "nodes")
+    done, live = None, pairs
+    while left.limit(1).count():
+        colour = stored(left.select("node", F.col("node").alias("root")), "colour")
+        while True:
+            push = live.join(colour.select(F.col("node").alias("src"), "root"), "src").groupBy(F.col("dst").alias("node")).agg(F.max("root").alias("near"))
+            after = stored(colour.join(push, "node", "left").select("node", F.greatest("root", "near").alias("root"), (F.col("near") > F.col("root")).alias("moved")), "colour")
+            colour = after.select("node", "root")
+            if after.filter("moved").limit(1).count() == 0:
+                break
+        inside = live.join(colour.select(F.col("node").alias("src"), "root"), "src").join(colour.select(F.col("node").alias("dst"), F.col("root").alias("other")), "dst").filter("root = other")
+        inside = stored(inside.select("src", "dst", "root"), "inside")
+        member = frontier = stored(colour.filter("node = root"), "member")
+        while frontier.limit(1).count():
+            back = inside.join(frontier.select(F.col("node").alias("dst"), "root"), ["dst", "root"]).select(F.col("src").alias("node"), "root").distinct()
+            frontier = stored(back.join(member, ["node", "root"], "left_anti"), "member")
+            member = stored(member.unionByName(frontier), "members")
+        done = member if done is None else done.unionByName(member)
+        left = stored(left.join(member, "node", "left_anti"), "left")
+        live = stored(live.join(left.withColumnRenamed("node", "src"), "src", "left_semi").join(left.withColumnRenamed("node", "dst"), "dst", "left_semi"), "live")
+    if done is None:
+        return left.select("node", F.col("node").alias("root"), F.lit(False).alias("in_cycle"))
+    sizes = done.groupBy("root").agg((F.count(F.lit(1)) > 1).alias("many"))
+    loops = pairs.filter("src = dst").select(F.col("src").alias("node"), F.lit(True).alias("loop"))
+    return done.join(sizes, "root").join(loops, "node", "left").select("node", "root", (F.col("many") | F.coalesce("loop", F.lit(False))).alias("in_cycle"))
+
+
+def degrees(edges: DataFrame) -> DataFrame:
+    """node, n_out, n_in over distinct edges."""
+    pairs = edges.select("src", "dst").distinct()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select("e.*")
+    return ends.groupBy("node").agg(F.sum("o").alias("n_out"), F.sum("i").alias("n_in"))
 
 
 def components(edges: DataFrame) -> DataFrame:
