@@ -47,9 +47,13 @@ def _(p):
     return collaboration.together(p.usages(), "method")
 
 
-@query("collab_file", with_tables("usages") + f", m AS ({_TOGETHER.format(key='method')}), f AS ({_TOGETHER.format(key='file')}) SELECT * FROM f WHERE categories NOT IN (SELECT categories FROM m)")
+_FINE = "usages AS (SELECT l_orderkey AS method, 'c' || (l_suppkey % 30) AS category, l_partkey AS api, o_orderpriority AS file FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
+
+
+@query("collab_file", f"WITH {_FINE}, m AS ({_TOGETHER.format(key='method')}), f AS ({_TOGETHER.format(key='file')}) SELECT * FROM f WHERE categories NOT IN (SELECT categories FROM m)")
 def _(p):
-    return collaboration.in_files(p.usages())
+    fine = p.table("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.concat(F.lit("c"), (F.col("l_suppkey") % 30).cast("string")).alias("category"), F.col("l_partkey").alias("api"))
+    return collaboration.in_files(fine.join(p.table("orders").select("o_orderkey", F.col("o_orderpriority").alias("file")), "o_orderkey").withColumnRenamed("o_orderkey", "method"))
 
 
 @query("collab_app", with_tables("usages") + """SELECT string_agg(DISTINCT category, ',' ORDER BY category) AS categories, count(DISTINCT category) AS n_categories, count(DISTINCT (category, api)) AS n_apis,
@@ -119,9 +123,9 @@ def _(p):
     return matching.known_packages(p.table("customer").select("c_custkey", "c_nationkey", F.col("c_nationkey").alias("package")), known).select("c_custkey", "c_nationkey")
 
 
-@query("unused_permission", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("unused_permission", "SELECT p_partkey FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R' AND l_linenumber = 7)")
 def _(p):
-    return p.table("part").select("p_partkey").join(p.table("lineitem").filter("l_returnflag = 'R'").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
+    return p.table("part").select("p_partkey").join(p.table("lineitem").filter("l_returnflag = 'R' AND l_linenumber = 7").select(F.col("l_partkey").alias("p_partkey")), "p_partkey", "left_anti")
 
 
 @query("usage_first_match", with_tables("usages") + "SELECT method, line, category, api FROM (SELECT *, row_number() OVER (PARTITION BY method, category ORDER BY line) AS n FROM usages) WHERE n = 1")
@@ -299,9 +303,9 @@ def _(p):
     return controlflow.branches(p.blocks(), p.block_edges())
 
 
-@query("cfg_try", _FLOW + "SELECT method, block, CASE WHEN invokes THEN 'try_body' ELSE 'catch_handler' END AS branch_side FROM blocks WHERE throws")
+@query("cfg_try", _FLOW + "SELECT b.method, b.block, CASE WHEN b.invokes THEN 'try_body' ELSE 'catch_handler' END AS branch_side, bool_or(h.invokes) AS has_fallback FROM blocks b JOIN block_edges e ON e.method = b.method AND e.src = b.block AND e.succ_idx = 9 JOIN blocks h ON h.method = e.method AND h.block = e.dst GROUP BY ALL")
 def _(p):
-    return controlflow.tries(p.blocks())
+    return controlflow.tries(p.blocks(), p.block_edges())
 
 
 @query("cfg_loops", _FLOW + "SELECT method, src AS block, min(dst) AS header FROM block_edges WHERE dst <= src GROUP BY 1, 2")
@@ -309,9 +313,9 @@ def _(p):
     return controlflow.loops(p.block_edges())
 
 
-@query("cfg_flaws", _FLOW + "SELECT method, block FROM blocks b WHERE block > 0 AND NOT EXISTS (FROM block_edges e WHERE e.method = b.method AND e.dst = b.block)")
+@query("cfg_flaws", _FLOW + "SELECT method, block FROM blocks b WHERE block > 0 AND NOT EXISTS (FROM block_edges e WHERE e.dst % 3 <> 1 AND e.method = b.method AND e.dst = b.block)")
 def _(p):
-    return controlflow.flaws(p.blocks(), p.block_edges())
+    return controlflow.flaws(p.blocks(), p.block_edges().filter("dst % 3 <> 1"))
 
 
 @query("dominators")

@@ -48,13 +48,16 @@ class Project:
     def blocks(self) -> DataFrame:
         """Basic blocks of four statements, with the kind of the last one."""
         st = self.statements().withColumn("block", F.floor((F.col("idx") - 1) / 4).cast("long"))
-        return st.groupBy("method", "block").agg(F.max_by("kind", "idx").alias("last_kind"), F.max((F.col("kind") == "invoke").cast("int")).cast("boolean").alias("invokes"), F.max((F.col("kind") == "clear").cast("int")).cast("boolean").alias("throws"), F.count(F.lit(1)).alias("n_stmts"))
+        return st.groupBy("method", "block").agg(F.max_by("kind", "idx").alias("last_kind"), (F.max_by("kind", "idx") == "invoke").alias("branches"), F.max((F.col("kind") == "invoke").cast("int")).cast("boolean").alias("invokes"), F.max((F.col("kind") == "clear").cast("int")).cast("boolean").alias("throws"), F.count(F.lit(1)).alias("n_stmts"))
 
     def block_edges(self) -> DataFrame:
-        """Successors: the next block; the one after it behind a branch; the one before behind a loop's end."""
+        """Successors: the next block; the one after it behind a branch; the one before behind a loop's end; the third next, as a handler,
+        from a block that may throw."""
         b = self.blocks().select("method", "block", "last_kind")
         steps = F.expr("CASE last_kind WHEN 'invoke' THEN array(struct(0 AS succ_idx, 1 AS step), struct(1 AS succ_idx, 2 AS step)) WHEN 'clear' THEN array(struct(0 AS succ_idx, 1 AS step), struct(1 AS succ_idx, -1 AS step)) ELSE array(struct(0 AS succ_idx, 1 AS step)) END")
         e = b.select("method", F.col("block").alias("src"), F.explode(steps).alias("e")).select("method", "src", "e.succ_idx", (F.col("src") + F.col("e.step")).cast("long").alias("dst"))
+        throws = self.blocks().filter("throws").select("method", F.col("block").alias("src"), F.lit(9).alias("succ_idx"), (F.col("block") + 3).alias("dst"), F.lit(True).alias("exceptional"))
+        e = e.withColumn("exceptional", F.lit(False)).unionByName(throws)
         return e.join(b.select("method", F.col("block").alias("dst")), ["method", "dst"], "left_semi")
 
 
@@ -81,6 +84,7 @@ blocks AS (SELECT method, (idx - 1) // 4 AS block, arg_max(kind, idx) AS last_ki
 block_edges AS (SELECT e.method, e.src, e.succ_idx, e.dst FROM (
   SELECT method, block AS src, 0 AS succ_idx, block + 1 AS dst FROM blocks
   UNION ALL SELECT method, block, 1, block + 2 FROM blocks WHERE last_kind = 'invoke'
+  UNION ALL SELECT method, block, 9, block + 3 FROM blocks WHERE throws
   UNION ALL SELECT method, block, 1, block - 1 FROM blocks WHERE last_kind = 'clear') e
   JOIN blocks b ON b.method = e.method AND b.block = e.dst)""",
 }

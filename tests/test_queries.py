@@ -2,7 +2,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from lumenflow.plans import catalog
+from lumenflow.plans import catalog, program  # noqa: F401
 
 FOLDER = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
