@@ -318,7 +318,13 @@ def _(p):
     return controlflow.flaws(p.blocks(), p.block_edges().filter("dst % 3 <> 1"))
 
 
-@query("dominators")
+_DOMINATORS = _FLOW.replace("WITH ", "WITH RECURSIVE ", 1) + """, ways AS (SELECT DISTINCT method, src, dst FROM block_edges), base AS (SELECT method, 0 AS node FROM ways UNION SELECT w.method, w.dst FROM base b JOIN ways w ON w.method = b.method AND w.src = b.node),
+past AS (SELECT method, node AS removed, 0 AS node FROM base WHERE node > 0 UNION SELECT w.method, p.removed, w.dst FROM past p JOIN ways w ON w.method = p.method AND w.src = p.node AND w.dst <> p.removed),
+dom AS (SELECT n.method, n.node AS block, d.node AS above FROM base n JOIN base d ON d.method = n.method AND d.node <> n.node AND NOT EXISTS (FROM past p WHERE p.method = n.method AND p.removed = d.node AND p.node = n.node) WHERE n.node > 0),
+deep AS (SELECT method, block, count(*) AS k FROM dom GROUP BY 1, 2)"""
+
+
+@query("dominators", _DOMINATORS + " SELECT dom.method, dom.block, arg_max(above, coalesce(k, 0)) AS idom FROM dom LEFT JOIN deep ON deep.method = dom.method AND deep.block = above GROUP BY 1, 2")
 def _(p):
     return controlflow.dominators(p.block_edges())
 
@@ -360,7 +366,9 @@ def _(p):
     return s.join(known.withColumn("hit", F.lit(True)), ["method", "tracked"], "left").select("method", "idx", F.when(F.col("hit"), F.col("tracked")).alias("tracked"))
 
 
-@query("reaching_defs")
+@query("reaching_defs", _FLOW.replace("WITH ", "WITH RECURSIVE ", 1) + """, g AS (SELECT method, (idx - 1) // 4 AS block, var, max(idx) AS def_idx FROM statements WHERE kind IN ('source', 'clear', 'copy') GROUP BY ALL), ways AS (SELECT DISTINCT method, src, dst FROM block_edges),
+f AS (SELECT g.method, dst AS block, var, def_idx FROM g JOIN ways w ON w.method = g.method AND w.src = g.block
+  UNION SELECT f.method, w.dst, f.var, f.def_idx FROM f JOIN ways w ON w.method = f.method AND w.src = f.block WHERE NOT EXISTS (FROM g WHERE g.method = f.method AND g.block = f.block AND g.var = f.var)) SELECT method, block, var, def_idx FROM f""")
 def _(p):
     gen, kill = dataflow.block_summaries(p.statements())
     return dataflow.reaching(gen, kill, p.block_edges())
@@ -415,7 +423,7 @@ def _(p):
     return rows.select("project", "files", "chains_total", "chains_with_path", rate.alias("chain_rate"))
 
 
-@query("report_json")
+@query("report_json", with_tables("usages") + """SELECT file, '{"file":"' || file || '","statistics":{"n_usages":' || count(*) || ',"n_methods":' || count(DISTINCT method) || '},"categories":["' || string_agg(DISTINCT category, '","' ORDER BY category) || '"]}' AS report FROM usages GROUP BY 1""")
 def _(p):
     u = p.usages()
     per = u.groupBy("file").agg(F.count(F.lit(1)).alias("n_usages"), F.countDistinct("method").alias("n_methods"), F.sort_array(F.collect_set("category")).alias("categories"))

@@ -8,7 +8,7 @@ from ..functions import labels
 from ..operators import callgraph, controlflow, graph, matching, report
 from ..sources import manifests
 from ..sources.projection import with_tables
-from .catalog import _FLOW, _SIG, _sigs, query
+from .catalog import _DOMINATORS, _FLOW, _SIG, _sigs, query
 
 #: Parts with a manufacturer above each brand and a container, which the table lacks.
 _PART = "part AS (SELECT *, left(p_brand, 7) AS p_mfgr, CASE p_size % 4 WHEN 0 THEN 'SM' WHEN 1 THEN 'LG' WHEN 2 THEN 'WRAP' ELSE 'MED' END || ' ' || (p_size % 10) AS p_container FROM main.part)"
@@ -167,7 +167,7 @@ def _(p):
     return controlflow.snippets(p.statements().select("method", "idx", line.alias("line"), F.concat("kind", F.col("var").cast("string")).alias("text")))
 
 
-@query("guarding_branches")
+@query("guarding_branches", _DOMINATORS + " SELECT DISTINCT b.method, b.block FROM blocks b JOIN dom ON dom.method = b.method AND dom.above = b.block JOIN blocks c ON c.method = dom.method AND c.block = dom.block AND c.invokes WHERE b.last_kind = 'invoke'")
 def _(p):
     edges = p.block_edges()
     return controlflow.guarding(p.blocks(), controlflow.dominance(controlflow.dominators(edges)))
