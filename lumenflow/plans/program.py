@@ -141,11 +141,12 @@ def _(p):
     return graph.links(graph.nearest(links, starts, entries))
 
 
-@query("paths_down", with_tables("calls") + ", t AS (SELECT DISTINCT c.caller AS top, o.callee AS target FROM calls c JOIN calls o ON o.caller = c.callee WHERE c.layer = 0 AND o.layer = 1) SELECT top, target, arg_min([top, c.callee, target], c.callee) AS path FROM t JOIN calls c ON c.caller = top AND c.layer = 0 JOIN calls o ON o.caller = c.callee AND o.callee = target AND o.layer = 1 GROUP BY 1, 2")
+@query("paths_down", with_tables("calls") + ", t AS (SELECT DISTINCT c.caller AS top, o.callee AS target FROM calls c JOIN calls o ON o.caller = c.callee WHERE c.layer = 0 AND o.layer = 1) SELECT top, target, array_to_string(arg_min([top, c.callee, target], c.callee), ' -> ') AS path FROM t JOIN calls c ON c.caller = top AND c.layer = 0 JOIN calls o ON o.caller = c.callee AND o.callee = target AND o.layer = 1 GROUP BY 1, 2")
 def _(p):
     upper = p.raw_calls().filter("layer <= 1")
     first, second = upper.filter("layer = 0").select(F.col("caller").alias("top"), F.col("callee").alias("mid")), upper.filter("layer = 1").select(F.col("caller").alias("mid"), F.col("callee").alias("target"))
-    return graph.paths_down(upper.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), first.join(second, "mid").select("top", "target").distinct())
+    found = graph.paths_down(upper.select(F.col("caller").alias("src"), F.col("callee").alias("dst")), first.join(second, "mid").select("top", "target").distinct())
+    return found.select("top", "target", F.array_join("path", " -> ").alias("path"))
 
 
 # Control flow
