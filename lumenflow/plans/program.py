@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import callgraph, controlflow, graph, matching, report
+from ..operators import callgraph, controlflow, graph, matching, report, ssa
 from ..sources import manifests
 from ..sources.projection import with_tables
+from ..sources.store import stored
 from .catalog import _DOMINATORS, _FLOW, _SIG, _sigs, query
 
 #: Parts with a manufacturer above each brand and a container, which the table lacks.
@@ -278,3 +279,65 @@ def _(p):
     _, methods, sites = _program(p)
     handled = sites.join(methods.select(F.col("class").alias("receiver"), "name"), ["receiver", "name"], "left_semi")
     return report.unhandled(sites, handled)
+
+
+# Single assignment, loops, edits
+
+_FRONTIER = _DOMINATORS + """, weak AS (SELECT method, block, above FROM dom UNION SELECT method, node, node FROM base),
+df AS (SELECT DISTINCT k.method, k.above AS block, w.dst AS frontier FROM weak k JOIN ways w ON w.method = k.method AND w.src = k.block WHERE NOT EXISTS (FROM dom d WHERE d.method = k.method AND d.block = w.dst AND d.above = k.above))"""
+_SSA = _FRONTIER + """, defs AS (SELECT method, (idx - 1) // 4 AS block, idx, var FROM statements WHERE kind IN ('source', 'clear', 'copy')),
+phi AS (SELECT d.method, f.frontier AS block, d.var FROM defs d JOIN df f ON f.method = d.method AND f.block = d.block UNION SELECT p.method, f.frontier, p.var FROM phi p JOIN df f ON f.method = p.method AND f.block = p.block),
+sites AS (SELECT *, row_number() OVER (PARTITION BY method, var ORDER BY block, coalesce(idx, 0)) AS version FROM (FROM defs UNION ALL SELECT method, block, NULL, var FROM phi))"""
+#: Best site at a point: of the point's own block before anything of a dominator, then the deepest dominator's last.
+_SEEN = """coalesce(arg_max(s.version, CASE WHEN s.block = u.block THEN 1000000000 ELSE coalesce(k, 0) END * 1000000 + s.version), 0) AS version FROM u LEFT JOIN (sites s LEFT JOIN deep ON deep.method = s.method AND deep.block = s.block) ON s.method = u.method AND s.var = u.var
+  AND (s.block = u.block AND coalesce(s.idx, 0) < u.idx OR EXISTS (FROM dom WHERE dom.method = u.method AND dom.block = u.block AND dom.above = s.block AND dom.above <> u.block))"""
+
+
+def _ssa(p):
+    """Definitions, uses, edges, dominance and phis of the methods."""
+    block = F.floor((F.col("idx") - 1) / 4).cast("long").alias("block")
+    st, edges = p.statements(), p.block_edges()
+    defs = st.filter("kind IN ('source', 'clear', 'copy')").select("method", block, "idx", "var")
+    uses = st.filter("kind IN ('copy', 'sink')").select("method", block, "idx", F.when(F.col("kind") == "copy", F.col("from_var")).otherwise(F.col("var")).alias("var"))
+    idoms = stored(controlflow.dominators(edges), "idoms")
+    return defs, uses, edges, controlflow.dominance(idoms), ssa.phis(defs, controlflow.frontiers(edges, idoms))
+
+
+@query("dominance_frontiers", _FRONTIER + " FROM df")
+def _(p):
+    edges = p.block_edges()
+    return controlflow.frontiers(edges, stored(controlflow.dominators(edges), "idoms"))
+
+
+@query("ssa_phis", _SSA + " FROM phi")
+def _(p):
+    return _ssa(p)[-1]
+
+
+@query("ssa_uses", _SSA + ", u AS (SELECT method, (idx - 1) // 4 AS block, idx, CASE kind WHEN 'copy' THEN from_var ELSE var END AS var FROM statements WHERE kind IN ('copy', 'sink')) SELECT u.method, u.block, u.idx, u.var, " + _SEEN + " GROUP BY ALL")
+def _(p):
+    defs, uses, _, dominance, placed = _ssa(p)
+    return ssa.visible(uses, ssa.versions(defs, placed), dominance)
+
+
+@query("ssa_phi_arguments", _SSA + ", u AS (SELECT phi.method, w.src AS block, 1000000000 AS idx, var, phi.block AS target FROM phi JOIN ways w ON w.method = phi.method AND w.dst = phi.block), r AS (SELECT u.method, u.target, u.var, u.block, " + _SEEN + " GROUP BY ALL) SELECT method, target AS block, var, block AS source, version FROM r")
+def _(p):
+    defs, _, edges, dominance, placed = _ssa(p)
+    return ssa.phi_arguments(placed, edges, ssa.versions(defs, placed), dominance)
+
+
+@query("natural_loops", _DOMINATORS + """, back AS (SELECT w.method, w.dst AS header, w.src AS block FROM ways w WHERE w.src = w.dst OR EXISTS (FROM dom WHERE dom.method = w.method AND dom.block = w.src AND dom.above = w.dst)),
+body AS (SELECT method, header, block FROM back UNION SELECT b.method, b.header, w.src FROM body b JOIN ways w ON w.method = b.method AND w.dst = b.block JOIN base ON base.method = w.method AND base.node = w.src WHERE b.block <> b.header) SELECT DISTINCT method, header, block FROM (FROM body UNION ALL SELECT method, header, header FROM back)""")
+def _(p):
+    edges = p.block_edges()
+    return ssa.natural_loops(edges, controlflow.dominance(stored(controlflow.dominators(edges), "idoms")))
+
+
+@query("cfg_edits", with_tables("statements") + """, st AS (SELECT method, (idx - 1) // 4 AS block, idx, kind || ' ' || var AS text FROM statements),
+done AS (SELECT method, block, idx, 1 AS side, CASE WHEN idx % 7 = 0 THEN 'nop' ELSE text END AS text FROM st WHERE idx % 5 <> 0 UNION ALL SELECT method, block, idx, 0, 'log' FROM st WHERE idx % 3 = 0 UNION ALL SELECT method, block, idx, 2, 'check' FROM st WHERE idx % 5 = 0)
+SELECT method, block, row_number() OVER (PARTITION BY method, block ORDER BY idx, side) AS idx, text FROM done""")
+def _(p):
+    st = p.statements().select("method", F.floor((F.col("idx") - 1) / 4).cast("long").alias("block"), "idx", F.concat_ws(" ", "kind", F.col("var").cast("string")).alias("text"))
+    edit = lambda n, action, text: F.when(F.col("idx") % n == 0, F.struct(F.lit(action).alias("action"), F.lit(0).alias("place"), F.lit(text).alias("text")))
+    some = F.array_compact(F.array(edit(7, "replace", "nop"), edit(5, "remove", ""), edit(3, "before", "log"), edit(5, "after", "check")))
+    return ssa.edited(st, st.select("method", "block", "idx", F.explode(some).alias("e")).select("method", "block", "idx", "e.*"))
