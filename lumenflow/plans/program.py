@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import callgraph, controlflow, graph, matching, report, ssa
+from ..operators import callgraph, controlflow, graph, matching, pointers, report, ssa
 from ..sources import manifests
 from ..sources.projection import with_tables
 from ..sources.store import stored
@@ -341,3 +341,48 @@ def _(p):
     edit = lambda n, action, text: F.when(F.col("idx") % n == 0, F.struct(F.lit(action).alias("action"), F.lit(0).alias("place"), F.lit(text).alias("text")))
     some = F.array_compact(F.array(edit(7, "replace", "nop"), edit(5, "remove", ""), edit(3, "before", "log"), edit(5, "after", "check")))
     return ssa.edited(st, st.select("method", "block", "idx", F.explode(some).alias("e")).select("method", "block", "idx", "e.*"))
+
+
+# Points-to sets across procedures
+
+def _objects(p):
+    """A method a nation: each customer's object goes through one shared function, into a field and out, and is run."""
+    c = p.table("customer").select(F.concat(F.lit("main"), F.col("c_nationkey").cast("string")).alias("method"), F.col("c_custkey").cast("string").alias("c"), F.concat(F.lit("T"), (F.col("c_custkey") % 5).cast("string")).alias("type"))
+    of = lambda letter: F.concat(F.lit(letter), F.col("c"))
+    frame, none = p.spark.createDataFrame, F.lit(None).cast("string")
+    static = c.select("method", of("s").alias("site"), none.alias("receiver"), F.lit("id").alias("name"), F.lit("id").alias("target"), of("r").alias("result"))
+    run = c.select("method", of("t").alias("site"), of("x").alias("receiver"), F.lit("run").alias("name"), none.alias("target"), none.alias("result"))
+    classes = frame([("Base", None), *((f"T{i}", "Base") for i in range(5))], "class string, super string")
+    methods = frame([("Base.run", "Base", "run"), ("T1.run", "T1", "run"), ("T3.run", "T3", "run")], "method string, class string, name string")
+    return pointers.Program(
+        entries=c.select("method").distinct(), allocs=c.select("method", of("a").alias("var"), of("o").alias("obj"), "type"), copies=c.select("method", of("a").alias("src"), of("b").alias("dst")),
+        loads=c.select("method", of("r").alias("base"), F.lit("f").alias("field"), of("x").alias("dst")), stores=c.select("method", of("r").alias("base"), F.lit("f").alias("field"), of("a").alias("src")),
+        calls=static.unionByName(run), actuals=c.select(of("s").alias("site"), F.lit(0).alias("pos"), of("b").alias("var")),
+        formals=methods.select("method", F.lit(-1).alias("pos"), F.lit("this").alias("var")).unionByName(frame([("id", 0, "p")], "method string, pos int, var string")),
+        returns=frame([("id", "p")], "method string, var string"), dispatch=pointers.dispatch_table(classes, methods),
+    )
+
+
+_RUN = "CASE c_custkey % 5 WHEN 1 THEN 'T1.run' WHEN 3 THEN 'T3.run' ELSE 'Base.run' END"
+
+
+@query("context_points_to", f"SELECT 'main' || c_nationkey AS method, v || c_custkey AS var, 'o' || c_custkey AS obj FROM customer, (VALUES ('a'), ('b'), ('r'), ('x')) t(v) UNION ALL SELECT 'id', 'p', 'o' || c_custkey FROM customer UNION ALL SELECT {_RUN}, 'this', 'o' || c_custkey FROM customer")
+def _(p):
+    return pointers.without_contexts(pointers.solve(_objects(p), 1)[0])
+
+
+@query("context_calls", f"SELECT 'main' || c_nationkey AS method, s || c_custkey AS site, CASE s WHEN 's' THEN 'id' ELSE {_RUN} END AS target, s || c_custkey AS inner_context FROM customer, (VALUES ('s'), ('t')) t(s)")
+def _(p):
+    return pointers.solve(_objects(p), 1)[1].select("method", "site", "target", F.array_join("inner", "<").alias("inner_context"))
+
+
+@query("points_to_statistics", "WITH o AS (SELECT o_custkey AS node, count(DISTINCT o_orderpriority) AS n_objects FROM orders GROUP BY 1) SELECT n_objects, count(*) AS n_nodes FROM o GROUP BY 1")
+def _(p):
+    return pointers.set_statistics(p.table("orders").select(F.col("o_custkey").alias("node"), F.col("o_orderpriority").alias("obj")))
+
+
+@query("type_differences", "SELECT o_custkey AS node, 'F' AS declared, array_to_string(list_sort(list(DISTINCT o_orderstatus)), ',') AS found FROM orders GROUP BY 1 HAVING bool_or(o_orderstatus <> 'F')")
+def _(p):
+    points = p.table("orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("obj"))
+    found = pointers.type_differences(points, points.select("node", F.lit("F").alias("declared")).distinct(), p.table("orders").select(F.col("o_orderkey").alias("obj"), F.col("o_orderstatus").alias("type")))
+    return found.withColumn("found", F.array_join("found", ","))
