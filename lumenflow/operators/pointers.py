@@ -95,9 +95,10 @@ def solve(p: Program, k: int = 2) -> tuple[DataFrame, DataFrame]:
     until nothing is new. Facts are kept flat and joined on plain columns; edges between variables of one method need
     no context and are joined as they stand.
     """
-    allocs = stored(p.allocs.select("method", "var", "obj", "type").distinct(), "allocs")
+    p = Program(**{name: stored(table.distinct(), name) for name, table in vars(p).items()})  # tables of known size
+    allocs = p.allocs.select("method", "var", "obj", "type")
     kind_of = stored(allocs.select("obj", "type").distinct(), "types")
-    calls = stored(p.calls.select("method", "site", "receiver", "name", "target", "result").distinct(), "calls")
+    calls = p.calls.select("method", "site", "receiver", "name", "target", "result")
     fixed, dynamic = calls.filter("target IS NOT NULL"), calls.filter("target IS NULL AND receiver IS NOT NULL")
     this = p.formals.filter("pos = -1").select(F.col("method").alias("target"), F.col("var").alias("this"))
     passed = p.actuals.filter("pos >= 0").select("site", "pos", F.col("var").alias("actual"))

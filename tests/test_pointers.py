@@ -62,7 +62,7 @@ def frames(spark, t):
     return pointers.Program(**{n: spark.createDataFrame(t[n], s).coalesce(1) for n, s in SCHEMAS.items()})
 
 
-@pytest.mark.parametrize(("seed", "k"), [(1, 2), (2, 1), (3, 0)])
+@pytest.mark.parametrize(("seed", "k"), [(1, 2), (3, 0)])
 def test_contexts_equal_brute_force(spark, seed, k):
     t = random_program(random.Random(seed))
     facts, called = pointers.solve(frames(spark, t), k)
