@@ -117,3 +117,38 @@ def subgraphs(groups: DataFrame, entry_paths: DataFrame, branches: DataFrame, si
     each = groups.join(branches.select(F.col("top").alias("lca"), F.col("target").alias("method"), "path"), ["lca", "method"], "left").join(sinks, ["method", "api"], "left")
     one = F.struct("api", "method", F.coalesce("path", F.array().cast("array<string>")).alias("path"), F.coalesce("sinks", F.array().cast(sinks.schema["sinks"].dataType)).alias("sinks"))
     return each.groupBy("lca").agg(F.array_sort(F.collect_list(one)).alias("branches")).join(entry_paths.withColumnRenamed("path", "entry_path"), "lca", "left")
+
+
+def _gathered(statements: DataFrame) -> DataFrame:
+    """method, block, texts: a block's statements (method, block, idx, text) in order."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "text"))), lambda s: s["text"])
+    return statements.groupBy("method", "block").agg(texts.alias("texts"))
+
+
+def method_graphs(statements: DataFrame, edges: DataFrame) -> DataFrame:
+    """method, text: each method's control flow as a graph of its own; ways to handlers are dotted.
+
+    edges: (method, src, dst, exceptional). One row holds a method, so what is gathered is as large as its code.
+    """
+    body = F.concat_ws("\\n    ", F.concat(F.lit("id:"), F.col("block").cast("string")), F.transform("texts", lambda t: F.replace(t, F.lit('"'), F.lit('\\"'))))
+    nodes = _gathered(statements).select("method", F.lit(0).alias("part"), F.col("block").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(False).alias("x"), F.concat(F.lit("  Node"), F.col("block").cast("string"), F.lit(' [label="'), body, F.lit('"];')).alias("line"))
+    ways = edges.select("method", F.lit(1).alias("part"), F.col("src").alias("a"), F.col("dst").alias("b"), F.col("exceptional").alias("x"), F.concat(F.lit("  Node"), F.col("src").cast("string"), F.lit(" -> Node"), F.col("dst").cast("string"), F.when(F.col("exceptional"), '[style="dotted"];').otherwise(";")).alias("line"))
+    lines = nodes.unionByName(ways).distinct().groupBy("method").agg(F.array_sort(F.collect_list(F.struct("part", "a", "b", "x", "line"))).alias("lines"))
+    return lines.select("method", F.concat(F.lit('digraph "'), F.col("method").cast("string"), F.lit('" {\n'), F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n}")).alias("text"))
+
+
+def method_json(statements: DataFrame, edges: DataFrame) -> DataFrame:
+    """method, json: blocks in order with statements, successors and handlers."""
+    out = lambda cond: F.array_sort(F.collect_set(F.when(cond, F.col("dst"))))
+    after = edges.groupBy("method", F.col("src").alias("block")).agg(out(~F.col("exceptional")).alias("successors"), out(F.col("exceptional")).alias("handlers"))
+    none = F.array().cast("array<bigint>")
+    blocks = _gathered(statements).join(after, ["method", "block"], "left")
+    one = F.struct(F.col("block").alias("id"), F.col("texts").alias("statements"), F.coalesce("successors", none).alias("successors"), F.coalesce("handlers", none).alias("handlers"))
+    return blocks.groupBy("method").agg(F.array_sort(F.collect_list(one)).alias("blocks")).select("method", F.to_json(F.struct("method", "blocks")).alias("json"))
+
+
+def method_listings(statements: DataFrame) -> DataFrame:
+    """method, text: a method's statements by block, each block under its label."""
+    part = F.concat(F.lit("label"), F.col("block").cast("string"), F.lit(":\n"), F.array_join(F.transform("texts", lambda t: F.concat(F.lit("  "), t)), "\n"))
+    blocks = _gathered(statements).groupBy("method").agg(F.array_sort(F.collect_list(F.struct("block", part.alias("text")))).alias("parts"))
+    return blocks.select("method", F.array_join(F.transform("parts", lambda x: x["text"]), "\n").alias("text"))

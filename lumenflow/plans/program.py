@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import callgraph, controlflow, graph, matching, pointers, report, ssa
+from ..operators import callgraph, controlflow, graph, matching, pointers, report, scopes, ssa
 from ..sources import manifests
 from ..sources.projection import with_tables
 from ..sources.store import stored
@@ -386,3 +386,63 @@ def _(p):
     points = p.table("orders").select(F.col("o_custkey").alias("node"), F.col("o_orderkey").alias("obj"))
     found = pointers.type_differences(points, points.select("node", F.lit("F").alias("declared")).distinct(), p.table("orders").select(F.col("o_orderkey").alias("obj"), F.col("o_orderstatus").alias("type")))
     return found.withColumn("found", F.array_join("found", ","))
+
+
+# Printed code
+
+_CODE = _FLOW + ", code AS (SELECT method, (idx - 1) // 4 AS block, idx, kind || ' \"v' || var || '\"' AS text FROM statements)"
+
+
+def _code(p):
+    text = F.concat("kind", F.lit(' "v'), F.col("var").cast("string"), F.lit('"'))
+    return p.statements().select("method", F.floor((F.col("idx") - 1) / 4).cast("long").alias("block"), "idx", text.alias("text"))
+
+
+@query("method_graphs", _CODE + """, l AS (SELECT method, 0 AS part, block AS a, 0 AS b, 0 AS x, '  Node' || block || ' [label="id:' || block || '\\n    ' || string_agg(replace(text, '"', '\\"'), '\\n    ' ORDER BY idx) || '"];' AS line FROM code GROUP BY method, block
+UNION SELECT method, 1, src, dst, (succ_idx = 9)::INT, '  Node' || src || ' -> Node' || dst || CASE WHEN succ_idx = 9 THEN '[style="dotted"];' ELSE ';' END FROM block_edges)
+SELECT method, 'digraph "' || method || '" {' || chr(10) || string_agg(line, chr(10) ORDER BY part, a, b, x) || chr(10) || '}' AS text FROM l GROUP BY method""")
+def _(p):
+    return report.method_graphs(_code(p), p.block_edges())
+
+
+@query("method_json", _CODE + """, s AS (SELECT method, block, list(text ORDER BY idx) AS statements FROM code GROUP BY 1, 2), e AS (SELECT method, src AS block, coalesce(list_sort(list(DISTINCT dst) FILTER (succ_idx <> 9)), []) AS successors, coalesce(list_sort(list(DISTINCT dst) FILTER (succ_idx = 9)), []) AS handlers FROM block_edges GROUP BY 1, 2)
+SELECT method, to_json({'method': method, 'blocks': list({'id': block, 'statements': statements, 'successors': coalesce(successors, []), 'handlers': coalesce(handlers, [])} ORDER BY block)})::VARCHAR AS json FROM s LEFT JOIN e USING (method, block) GROUP BY method""")
+def _(p):
+    return report.method_json(_code(p), p.block_edges())
+
+
+@query("method_listings", _CODE + ", b AS (SELECT method, block, 'label' || block || ':' || chr(10) || string_agg('  ' || text, chr(10) ORDER BY idx) AS part FROM code GROUP BY 1, 2) SELECT method, string_agg(part, chr(10) ORDER BY block) AS text FROM b GROUP BY 1")
+def _(p):
+    return report.method_listings(_code(p))
+
+
+# Names
+
+@query("enclosing_names", """WITH u AS (SELECT o_orderkey AS use, 'C' || o_custkey AS scope, 'x' || (o_orderkey % 6) AS name FROM orders),
+up AS (SELECT 'C' || c_custkey AS c, 'N' || c_nationkey AS n, 'R' || n_regionkey AS r, c_custkey, c_nationkey, n_regionkey FROM customer JOIN nation ON n_nationkey = c_nationkey)
+SELECT use, name, CASE WHEN i = c_custkey % 6 THEN c WHEN i = c_nationkey % 6 THEN n WHEN i = n_regionkey THEN r END AS scope, CASE WHEN i = c_custkey % 6 THEN 'c' WHEN i = c_nationkey % 6 THEN 'n' ELSE 'r' END AS value, CASE WHEN i = c_custkey % 6 THEN 0 WHEN i = c_nationkey % 6 THEN 1 ELSE 2 END AS up
+FROM (SELECT *, right(name, 1)::INT AS i FROM u) JOIN up ON c = scope WHERE i IN (c_custkey % 6, c_nationkey % 6, n_regionkey)""")
+def _(p):
+    text = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    name = lambda c: F.concat(F.lit("x"), (F.col(c) % 6).cast("string")).alias("name")
+    uses = p.table("orders").select(F.col("o_orderkey").alias("use"), text("C", "o_custkey").alias("scope"), name("o_orderkey"))
+    customer, nation = p.table("customer"), p.table("nation")
+    parents = customer.select(text("C", "c_custkey").alias("scope"), text("N", "c_nationkey").alias("parent")).unionByName(nation.select(text("N", "n_nationkey").alias("scope"), text("R", "n_regionkey").alias("parent")))
+    made = [customer.select(text("C", "c_custkey").alias("scope"), name("c_custkey"), F.lit("c").alias("value")), nation.select(text("N", "n_nationkey").alias("scope"), name("n_nationkey"), F.lit("n").alias("value")), p.table("region").select(text("R", "r_regionkey").alias("scope"), name("r_regionkey"), F.lit("r").alias("value"))]
+    return scopes.enclosing(uses, parents, made[0].unionByName(made[1]).unionByName(made[2]))
+
+
+@query("imported_names", """SELECT o_orderkey AS import_id, CASE i WHEN 0 THEN 'C' || o_custkey WHEN 1 THEN 'N' || c_nationkey ELSE 'R' || n_regionkey END AS file, CASE i WHEN 0 THEN 'own' WHEN 1 THEN 'inner' ELSE 'far' END AS name, i AS hops
+FROM (SELECT *, (o_orderkey % 4)::INT AS i FROM orders) JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE i < 3""")
+def _(p):
+    text = lambda letter, c: F.concat(F.lit(letter), F.col(c).cast("string"))
+    none = F.lit(None).cast("string")
+    row = lambda t, file, name, origin, other: t.select(file.alias("file"), F.lit(name).cast("string").alias("name"), origin.alias("from_file"), F.lit(other).cast("string").alias("from_name"))
+    c, n, r = p.table("customer"), p.table("nation"), p.table("region")
+    of_c, of_n = (text("C", "c_custkey"), text("N", "c_nationkey")), (text("N", "n_nationkey"), text("R", "n_regionkey"))
+    rows = [row(c, of_c[0], "own", none, None), row(c, *of_c[:1], "named", of_c[1], "inner"), row(c, of_c[0], None, of_c[1], None), row(n, of_n[0], "inner", none, None), row(n, of_n[0], None, of_n[1], None), row(r, text("R", "r_regionkey"), "far", none, None), row(n, of_n[1], None, of_n[0], None)]
+    exports = rows[0]
+    for one in rows[1:]:
+        exports = exports.unionByName(one)
+    name = F.expr("element_at(array('own', 'named', 'far', 'nowhere'), CAST(o_orderkey % 4 AS INT) + 1)")
+    return scopes.imported(p.table("orders").select(F.col("o_orderkey").alias("import_id"), text("C", "o_custkey").alias("from_file"), name.alias("name")), exports)
