@@ -102,6 +102,23 @@ def hits(edges: DataFrame, statements: DataFrame) -> DataFrame:
     return edges.join(sinks, ["proc", "node", "var"]).select("proc", "node", "var", "source").distinct()
 
 
+def undefined_flow(edges: DataFrame) -> DataFrame:
+    """``normal_flow`` where 'undefined' statements give their target no value, and 'define' and 'read' give it one."""
+    kind = F.when(F.col("kind") == "undefined", "source").when(F.col("kind").isin("define", "read"), "clear").otherwise(F.col("kind"))
+    return normal_flow(edges.withColumn("kind", kind))
+
+
+def undefined_reads(statements: DataFrame, flow: DataFrame, entries: DataFrame, calls: DataFrame, actuals: DataFrame, results: DataFrame, roots: DataFrame) -> DataFrame:
+    """proc, node, var, source: reads of a field of ``operand`` that statement ``source`` may have left undefined.
+
+    Tables as above; kinds are undefined, define, assign, read, call, return and other. The same tabulation as for taint
+    with another flow over statements.
+    """
+    edges = path_edges(statements, flow, entries, calls, actuals, results, roots, undefined_flow)
+    reads = statements.filter("kind = 'read'").select("proc", "node", F.col("operand").alias("var"))
+    return edges.join(reads, ["proc", "node", "var"]).select("proc", "node", "var", "source").distinct()
+
+
 def minimal_outcomes(outcomes: DataFrame) -> DataFrame:
     """Outcomes (sink, fact, path) but for those whose statements are a superset of another's at the same sink and fact.
 
