@@ -27,6 +27,8 @@ FACT = [*NODE, "obj"]
 #: Methods of containers that put an argument into them, and its position.
 CONTAINER_WRITES = (("Set", "add", 0), ("Map", "set", 1), ("Array", "push", 0))
 ELEMENT = "[]"
+#: Names of this analysis' own: the variable and object of application storage, and how function values are called.
+STORAGE, INVOKED = "%storage", "()"
 
 
 @dataclass
@@ -71,6 +73,44 @@ def container_stores(calls: DataFrame, actuals: DataFrame, types: DataFrame, wri
     return calls.join(types.withColumnRenamed("var", "receiver"), ["method", "receiver"]).join(F.broadcast(known), ["type", "name"]).join(actuals, ["site", "pos"]).select("method", F.col("receiver").alias("base"), F.lit(ELEMENT).alias("field"), F.col("var").alias("src"))
 
 
+def storage_facts(accesses: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """allocs, copies, loads, stores of application storage, one object all methods share whose fields are properties.
+
+    accesses: (method, receiver, name, property, value, result) of calls on storage, static ones without receiver;
+    ``property`` is the literal named, ``value`` the variable handed in. ``setOrCreate`` writes a property; ``link`` ties
+    its result to one in both directions, ``prop`` only reads into it; ``set`` and ``get`` on a tied variable write to it
+    and read its property, a static ``get`` reads the property named. Calls without a literal property are passed over.
+    """
+    named = accesses.filter("receiver IS NULL AND property IS NOT NULL")
+    base, tied = F.lit(STORAGE).alias("base"), named.filter("name IN ('link', 'prop') AND result IS NOT NULL")
+    on = accesses.filter("receiver IS NOT NULL").select("method", "receiver", "name", "value", "result").join(tied.select("method", F.col("result").alias("receiver"), "property"), ["method", "receiver"])
+    writes = named.filter("name = 'setOrCreate' AND value IS NOT NULL").select("method", base, F.col("property").alias("field"), F.col("value").alias("src"))
+    stores = writes.unionByName(tied.filter("name = 'link'").select("method", base, F.col("property").alias("field"), F.col("result").alias("src")))
+    read = named.filter("name = 'get' AND result IS NOT NULL").unionByName(tied, True).select("method", "property", "result")
+    loads = read.unionByName(on.filter("name = 'get' AND result IS NOT NULL").select("method", "property", "result")).select("method", base, F.col("property").alias("field"), F.col("result").alias("dst"))
+    copies = on.filter("name = 'set' AND value IS NOT NULL").select("method", F.col("value").alias("src"), F.col("receiver").alias("dst"))
+    allocs = accesses.select("method", F.lit(STORAGE).alias("var"), F.lit(STORAGE).alias("obj"), F.lit(STORAGE).alias("type"))
+    return tuple(t.distinct() for t in (allocs, copies, loads, stores))
+
+
+def library_facts(calls: DataFrame, library: DataFrame, handed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """allocs and calls that stand for what library methods do, whose code isn't there.
+
+    library: (target, type), methods and the class each returns, null if none; handed: (site, function variable), as
+    (site, var). A method's result is an object of its own, one a method; a function handed in is called.
+    """
+    into = calls.join(library, "target")
+    allocs = into.filter("result IS NOT NULL AND type IS NOT NULL").select("method", F.col("result").alias("var"), F.concat(F.lit("library:"), "target").alias("obj"), "type")
+    back = into.join(handed, "site").select("method", F.concat_ws(":", "site", "var").alias("site"), F.col("var").alias("receiver"), F.lit(INVOKED).alias("name"), F.lit(None).cast("string").alias("target"), F.lit(None).cast("string").alias("result"))
+    return allocs.distinct(), back.distinct()
+
+
+def function_facts(references: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """allocs and dispatch for references (method, var, function): functions as objects, called by the name ``()``."""
+    name = F.concat(F.lit("function:"), "function")
+    return references.select("method", "var", name.alias("obj"), name.alias("type")).distinct(), references.select(name.alias("type"), F.lit(INVOKED).alias("name"), F.col("function").alias("target")).distinct()
+
+
 def _extended(ctx: Column, site: Column, k: int) -> Column:
     return F.slice(F.concat(F.array(site), ctx), 1, k) if k else F.array().cast("array<string>")
 

@@ -83,3 +83,26 @@ def test_dispatch_containers_and_type_differences(spark):
     points, types = frame([("p", 1), ("p", 2), ("q", 1)], "node string, obj int"), frame([(1, "A"), (2, "B")], "obj int, type string")
     off = pointers.type_differences(points, frame([("p", "A"), ("q", "A"), ("r", "A")], "node string, declared string"), types)
     assert [tuple(r) for r in off.collect()] == [("p", "A", ["A", "B"])]
+
+
+def test_storage_library_results_and_function_values(spark):
+    make = lambda name, rows: spark.createDataFrame(rows, SCHEMAS[name]).coalesce(1)
+    accesses = spark.createDataFrame([
+        ("main", None, "setOrCreate", "user", "u", None), ("main", None, "setOrCreate", None, "u", None), ("main", None, "link", "user", None, "l"), ("main", "l", "set", None, "v", None),
+        ("cb", None, "prop", "user", None, "p"), ("cb", "p", "set", None, "w", None), ("cb", "p", "get", None, None, "g"), ("cb", None, "get", "user", None, "h"), ("cb", None, "get", "other", None, "n"),
+    ], "method string, receiver string, name string, property string, value string, result string")
+    calls = make("calls", [("main", "s1", None, "on", "lib.on", "r")])
+    s_allocs, copies, loads, stores = pointers.storage_facts(accesses)
+    l_allocs, back = pointers.library_facts(calls, spark.createDataFrame([("lib.on", "Handle")], "target string, type string"), spark.createDataFrame([("s1", "f")], "site string, var string"))
+    f_allocs, dispatch = pointers.function_facts(spark.createDataFrame([("main", "f", "cb")], "method string, var string, function string"))
+    allocs = make("allocs", [("main", "u", "U", "T"), ("main", "v", "V", "T"), ("cb", "w", "W", "T"), ("never", "z", "Z", "T")])
+    none = {n: make(n, []) for n in ("actuals", "formals", "returns")}
+    p = pointers.Program(entries=make("entries", [("main",)]), allocs=allocs.unionByName(s_allocs).unionByName(l_allocs).unionByName(f_allocs), copies=copies, loads=loads, stores=stores, calls=calls.unionByName(back), dispatch=dispatch, **none)
+    facts, called = pointers.solve(p, 1)
+    held = {}
+    for r in pointers.without_contexts(facts).collect():
+        held.setdefault((r["method"], r["var"]), set()).add(r["obj"])
+    assert held["main", "r"] == {"library:lib.on"} and ("never", "z") not in held and ("cb", "n") not in held
+    assert held["main", "l"] == held["cb", "h"] == held["cb", "g"] == {"U", "V"}
+    assert held["cb", "p"] == {"U", "V", "W"}  # what is written to a one-way tie stays there
+    assert {(r["site"], r["target"]) for r in called.collect()} == {("s1", "lib.on"), ("s1:f", "cb")}
