@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import labels
-from ..operators import callgraph, controlflow, graph, matching, pointers, report, scopes, ssa
+from ..operators import callgraph, controlflow, graph, matching, pointers, regions, report, scopes, ssa
 from ..sources import manifests
 from ..sources.projection import with_tables
 from ..sources.store import stored
@@ -343,6 +343,11 @@ def _(p):
     return ssa.edited(st, st.select("method", "block", "idx", F.explode(some).alias("e")).select("method", "block", "idx", "e.*"))
 
 
+@query("structural_regions")
+def _(p):
+    return regions.regions(p.block_edges()).withColumn("blocks", F.concat_ws(",", "blocks"))
+
+
 # Points-to sets across procedures
 
 def _objects(p):
