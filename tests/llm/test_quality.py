@@ -121,3 +121,32 @@ def test_bands(spark):
     passed = quality.passing(docs)
     assert passed.columns == docs.columns and {r["doc_id"] for r in passed.collect()} == kept
     assert {(r["key"], r["row"], r["nats"]) for r in passed.collect()} == {("k", 1, "n")}
+
+
+@pytest.mark.parametrize("room, large", [(quality.MODEL_BYTES, set()), (150_000, {"=en", quality.ALL}), (1, {"=en", "", quality.RARE, quality.ALL})])
+def test_rare_ngrams_count_whatever_workers_hold(spark, monkeypatch, rows, room, large):
+    monkeypatch.setattr(quality, "KEEP_SHARE", 2.0**-8)
+    monkeypatch.setattr(quality, "MODEL_BYTES", room)
+    rows = [*rows, (904, "zq zqzqzq " * 3 + "a1b2c3", "en"), (905, "Ω", "yy")]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    judge = quality.Judge(docs)
+    left = {k: judge.others([k]).count() for k in ("=en", "", quality.RARE)}
+    assert judge.least.keys() == large and all(left.values()) == any(left.values()) == bool(large)
+    carried = docs.select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
+    got = {r["doc_id"]: r["nats"] for r in judge.measured(docs, carried).collect()}
+    group = lambda lang: lang if lang in ("en", None) else "*"
+    models = {k: Brute([t or "" for _, t, lang in rows if group(lang) == k]) for k in ("en", None, "*")}
+    general = Brute([t or "" for _, t, _ in rows])
+    assert got.keys() == {i for i, _, _ in rows} and got[901] is None and got[902] is None
+    for i, t, lang in rows:
+        if t:
+            assert got[i] == pytest.approx(brute_nats(t, models[group(lang)], general), rel=1e-6)
+
+
+def test_languages_without_words_keep_their_rows(spark, monkeypatch, rows):
+    monkeypatch.setattr(quality, "MODEL_BYTES", 1)  # a pass for each language
+    blank = [(2000 + i, [None, "", " \n"][i % 3], "bb" if i < 60 else "cc") for i in range(62)]
+    for some in (blank, [r for r in rows if r[2] != "yy"] + blank):
+        got = quality.judge(spark.createDataFrame(some, SCHEMA)).collect()
+        assert sorted(r["doc_id"] for r in got) == sorted(r[0] for r in some)
+        assert not any(r["kept"] or r["n_words"] for r in got if r["doc_id"] >= 2000)
